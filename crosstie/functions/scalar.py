@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DASH = "—"
 # fixed values: texts read as "no value", as Yes, as No, as Yes in rule texts
@@ -124,7 +125,7 @@ def fmt_percent(x: Column | str) -> Column:
     return (
         F.when(is_blank_token(x), F.lit(DASH))
         .when(num.isNull(), x)
-        .otherwise(F.concat(F.format_number(num * 100, "0.00"), F.lit("%")))
+        .otherwise(F.concat(plain_number(num * 100, "0.00"), F.lit("%")))
     )
 
 
@@ -134,7 +135,7 @@ def fmt_rate(x: Column | str) -> Column:
     return (
         F.when(is_blank_token(x), F.lit(DASH))
         .when(num.isNull(), x)
-        .otherwise(F.format_number(num, "0.0000000"))
+        .otherwise(plain_number(num, "0.0000000"))
     )
 
 
@@ -156,6 +157,11 @@ def fmt_diff(diff: Column) -> Column:
     return F.when(diff.isNull() | (diff == 0), F.lit(DASH)).otherwise(_scaled(diff, signed=True))
 
 
+def plain_number(x: Column, pattern: str) -> Column:
+    """Decimal text by pattern, half-even like ``format_number`` but ungrouped."""
+    return F.call_function("format_number", x, F.lit(pattern))
+
+
 def money(x: Column) -> Column:
     return F.format_number(x, 0)
 
@@ -218,7 +224,7 @@ def tolerance(floor: float, x: Column, share: float) -> Column:
 # --- similarity ------------------------------------------------------------
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a, b):  # noqa: ANN001 - series in, series out
     """Ratcliff-Obershelp ratio; no built-in expression computes it."""
     import difflib

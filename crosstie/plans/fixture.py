@@ -84,11 +84,11 @@ LAYERS: list[list[tuple[str, str]]] = [
         ("usd_c", every(39, "0", every(37, "usd0_c * 1000000", "usd0_c"))),
     ],
     [
-        (f"jcy_{s}", f"usd_{s} + {every(14, '5000')}") for s in SIDES
+        (f"jcy_{s}", f"usd_{s} + {every(27, '5000')}") for s in SIDES
     ],
     [
         # accumulated pools: b = beginning, e = ending; a c s h u v = the six pools
-        ("ba_p", "g_p"), ("ea_p", f"g_p + jcy_p + {every(16, _part('g_p', 5))}"),
+        ("ba_p", "g_p"), ("ea_p", f"g_p + jcy_p + {every(35, _part('g_p', 5))}"),
         ("bc_p", "r_p"), ("ec_p", every(18, "0", "r_p")),
         ("bs_p", "d_p"), ("es_p", "d_p"),
         ("bh_p", "g_p + r_p + d_p"), ("eh_p", "g_p + r_p + d_p"),
@@ -105,7 +105,7 @@ LAYERS: list[list[tuple[str, str]]] = [
         ("bv_c", f"CASE WHEN n_p > 0 THEN ev_p + {every(22, '5')} ELSE 0 END"), ("ev_c", "q_c"),
     ],
     [
-        ("ea_c", f"ba_c + jcy_c + {every(16, _part('g_c', 5))}"),
+        ("ea_c", f"ba_c + jcy_c + {every(35, _part('g_c', 5))}"),
     ],
 ]
 

@@ -63,9 +63,10 @@ def _grams(name: Column) -> Column:
 
     def runs(q: int) -> Column:
         at = F.sequence(F.lit(0), F.greatest(n - q, F.lit(0)))
-        return F.transform(at, lambda i: F.struct(F.substring(name, i + 1, F.lit(q)).alias("gram"), i.alias("pos")))
+        return F.transform(at, lambda i: F.struct(
+            F.substring(name, i + 1, F.lit(q)).alias("gram"), i.alias("pos"), F.lit(q).alias("q")))
 
-    whole = F.array(F.struct(F.concat(F.lit("="), name).alias("gram"), F.lit(0).alias("pos")))
+    whole = F.array(F.struct(F.concat(F.lit("="), name).alias("gram"), F.lit(0).alias("pos"), F.lit(0).alias("q")))
     return F.concat(whole, F.when(n >= 3, runs(3)).otherwise(F.expr("array()")),
                     F.when((n >= 2) & (n < 16), runs(2)).otherwise(F.expr("array()")))
 
@@ -84,16 +85,20 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.85, ra
         c = rows.distinct().withColumn(f"{n}_clean", name_clean("name")).withColumnRenamed("name", n)
         return c.select("return_id", n, f"{n}_clean", F.inline(_grams(F.col(f"{n}_clean")))).withColumnRenamed("pos", f"{n}_pos")
 
+    fewest = (1.0 - slack) / 2.0 - 2.0 * slack  # shared runs per character of both names, less two
+
     a, b = prepared(left, "a"), prepared(right, "b")
     span = F.greatest(F.ceil(F.length("a_clean") * reach).cast("int"), F.lit(1))
     a = a.withColumn("bucket", F.explode(F.sequence(
         F.floor((F.col("a_pos") - span) / width).cast("int"), F.floor((F.col("a_pos") + span) / width).cast("int"))))
     b = b.withColumn("bucket", F.floor(F.col("b_pos") / width).cast("int"))
     total = F.length("a_clean") + F.length("b_clean")
-    near = a.join(b, ["return_id", "gram", "bucket"]).where(
+    # shifts and lengths differ by less than the unmatched characters
+    near = a.join(b, ["return_id", "gram", "bucket", "q"]).where(
         (F.abs(F.length("a_clean") - F.length("b_clean")) < total * slack + 1e-9)
         & (F.abs(F.col("a_pos") - F.col("b_pos")) < F.greatest(total * slack, F.lit(1.0)) + 1e-9))
-    pairs = near.select("return_id", "a", "b", "a_clean", "b_clean").distinct()
+    pairs = (near.groupBy("return_id", "a", "b", "a_clean", "b_clean").agg(F.expr("count_if(q = 3) AS runs"))
+             .where((total <= 16) | (F.col("a_clean") == F.col("b_clean")) | (F.col("runs") > total * fewest - 2 - 1e-9)))
     score = similarity("a_clean", "b_clean") if ratio == "matching" else levenshtein_ratio("a_clean", "b_clean")
     return pairs.withColumn("ratio", score).where(F.col("ratio") > threshold).select("return_id", "a", "b", "ratio")
 
@@ -126,7 +131,8 @@ def entity_targets(balances: DataFrame, names: DataFrame, targets: DataFrame) ->
     number, matched to the return's names, and bring all their baskets."""
     codes = balances.select("return_id", "entity_number").distinct().join(names, ["return_id", "entity_number"], "left")
     codes = codes.withColumn("name", F.coalesce("entity_name", "entity_number"))
-    match = match_names(names.select("return_id", F.col("entity_name").alias("name")),
+    # only names the export asks for are matched
+    match = match_names(codes.where("entity_name IS NOT NULL").select("return_id", "name"),
                         targets.select("return_id", F.col("xml_name").alias("name")))
     hit = codes.join(match.select("return_id", "name", F.col("matched").alias("xml_name")), ["return_id", "name"])
     return hit.join(targets, ["return_id", "xml_name"]).select(

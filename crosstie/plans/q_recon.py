@@ -273,10 +273,10 @@ ORACLES["fuzzy_name_match_levenshtein"] = (
 def _best(spark, sf_dir):
     names = C.name_map(I.name_rows(spark, sf_dir))
     targets = C.pool_targets(X.facts(spark, sf_dir, PY), PY)
-    match = C.match_names(names.select("return_id", F.col("entity_name").alias("name")), targets.select("return_id", F.col("xml_name").alias("name")))
-    hit = names.join(match.withColumnRenamed("name", "entity_name"), ["return_id", "entity_name"])
     codes = _balances(spark, sf_dir).select("return_id", "entity_number").distinct()
-    return hit.join(codes, ["return_id", "entity_number"], "left_semi").select("return_id", "entity_number", "matched")
+    names = names.join(codes, ["return_id", "entity_number"], "left_semi")
+    match = C.match_names(names.select("return_id", F.col("entity_name").alias("name")), targets.select("return_id", F.col("xml_name").alias("name")))
+    return names.join(match.withColumnRenamed("name", "entity_name"), ["return_id", "entity_name"]).select("return_id", "entity_number", "matched")
 
 
 # sinks ---------------------------------------------------------------------------------------

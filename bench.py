@@ -26,7 +26,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, "crosstie-bench")
     inputs_sec = {}
-    for name, build in (("facts", fixture.facts), ("grid_cells", inputs.grid_cells), ("documents", inputs.document_path)):
+    for name, build in (("facts", fixture.facts), ("grid_cells", inputs.grid_cells), ("documents", inputs.document_path),
+                        ("document_schema", inputs.document_schema)):
         start = time.perf_counter()
         build(spark, sf_dir)
         inputs_sec[name] = round(time.perf_counter() - start, 3)

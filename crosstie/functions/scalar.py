@@ -97,11 +97,12 @@ def sign_flip(num: Column, sign: Column) -> Column:
     return F.when(sign == "negative_is_income", -num).otherwise(num)
 
 
-def fmt_amount(x: Column | str, sign: Column | None = None) -> Column:
+def fmt_amount(x: Column | str, sign: Column | None = None, num: Column | None = None) -> Column:
+    """Dollar text in millions, thousands or units.  ``num`` is the parsed and
+    turned number where the caller has it as a column already."""
     x = _c(x)
-    num = safe_float(x)
-    if sign is not None:
-        num = sign_flip(num, sign)
+    if num is None:
+        num = safe_float(x) if sign is None else sign_flip(safe_float(x), sign)
     return (
         F.when(is_blank_token(x), F.lit(DASH))
         .when(num.isNull(), x)
@@ -119,9 +120,9 @@ def fmt_indicator(x: Column | str) -> Column:
     )
 
 
-def fmt_percent(x: Column | str) -> Column:
+def fmt_percent(x: Column | str, num: Column | None = None) -> Column:
     x = _c(x)
-    num = safe_float(x)
+    num = safe_float(x) if num is None else num
     return (
         F.when(is_blank_token(x), F.lit(DASH))
         .when(num.isNull(), x)
@@ -129,9 +130,9 @@ def fmt_percent(x: Column | str) -> Column:
     )
 
 
-def fmt_rate(x: Column | str) -> Column:
+def fmt_rate(x: Column | str, num: Column | None = None) -> Column:
     x = _c(x)
-    num = safe_float(x)
+    num = safe_float(x) if num is None else num
     return (
         F.when(is_blank_token(x), F.lit(DASH))
         .when(num.isNull(), x)
@@ -139,19 +140,27 @@ def fmt_rate(x: Column | str) -> Column:
     )
 
 
-def fmt_value(x: Column | str, type_: Column, sign: Column) -> Column:
-    """Display text of a field by its catalogue type."""
+def fmt_value(x: Column | str, type_: Column, sign: Column, num: Column | None = None) -> Column:
+    """Display text of a field by its catalogue type.
+
+    Give ``num`` (see ``value_number``) as a column of an earlier select to keep
+    the parse out of every branch."""
     x = _c(x)
     return (
         F.when(is_blank_token(x), F.lit(DASH))
-        .when(type_ == "amount", fmt_amount(x, sign))
+        .when(type_ == "amount", fmt_amount(x, sign, num))
         .when(type_ == "indicator", fmt_indicator(x))
-        .when(type_ == "percentage", fmt_percent(x))
-        .when(type_ == "rate", fmt_rate(x))
+        .when(type_ == "percentage", fmt_percent(x, num))
+        .when(type_ == "rate", fmt_rate(x, num))
         .otherwise(x)
     )
 
 
+def value_number(x: Column | str, sign: Column) -> Column:
+    """Number behind a display text, turned where the field shows it turned."""
+    return sign_flip(safe_float(x), sign)
+
+
 def fmt_diff(diff: Column) -> Column:
     """Signed difference in millions, thousands or units; a dash for none."""
     return F.when(diff.isNull() | (diff == 0), F.lit(DASH)).otherwise(_scaled(diff, signed=True))

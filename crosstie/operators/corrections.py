@@ -82,24 +82,34 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.85, ra
     reach = 2.0 * slack / (1.0 + slack) + slack  # widest position shift per character of the left name
 
     def prepared(rows: DataFrame, n: str) -> DataFrame:
-        c = rows.distinct().withColumn(f"{n}_clean", name_clean("name")).withColumnRenamed("name", n)
-        return c.select("return_id", n, f"{n}_clean", F.inline(_grams(F.col(f"{n}_clean")))).withColumnRenamed("pos", f"{n}_pos")
+        c = rows.distinct().withColumn("clean", name_clean("name")).withColumnRenamed("name", n)
+        return (c.select("return_id", n, F.length("clean").alias(f"{n}_len"), F.inline(_grams(F.col("clean"))))
+                .withColumnRenamed("pos", f"{n}_pos"))
 
     fewest = (1.0 - slack) / 2.0 - 2.0 * slack  # shared runs per character of both names, less two
 
     a, b = prepared(left, "a"), prepared(right, "b")
-    span = F.greatest(F.ceil(F.length("a_clean") * reach).cast("int"), F.lit(1))
+    span = F.greatest(F.ceil(F.col("a_len") * reach).cast("int"), F.lit(1))
     a = a.withColumn("bucket", F.explode(F.sequence(
         F.floor((F.col("a_pos") - span) / width).cast("int"), F.floor((F.col("a_pos") + span) / width).cast("int"))))
     b = b.withColumn("bucket", F.floor(F.col("b_pos") / width).cast("int"))
-    total = F.length("a_clean") + F.length("b_clean")
+    # names grow a hundredfold into runs here: spread them by what they meet on,
+    # by number, so that small-looking inputs are not folded into one task
+    meet = ["return_id", "gram", "bucket", "q"]
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a, b = a.repartition(parts, *meet), b.repartition(parts, *meet)
+    either = F.col("a_len") + F.col("b_len")
     # shifts and lengths differ by less than the unmatched characters
-    near = a.join(b, ["return_id", "gram", "bucket", "q"]).where(
-        (F.abs(F.length("a_clean") - F.length("b_clean")) < total * slack + 1e-9)
-        & (F.abs(F.col("a_pos") - F.col("b_pos")) < F.greatest(total * slack, F.lit(1.0)) + 1e-9))
-    pairs = (near.groupBy("return_id", "a", "b", "a_clean", "b_clean").agg(F.expr("count_if(q = 3) AS runs"))
-             .where((total <= 16) | (F.col("a_clean") == F.col("b_clean")) | (F.col("runs") > total * fewest - 2 - 1e-9)))
-    score = similarity("a_clean", "b_clean") if ratio == "matching" else levenshtein_ratio("a_clean", "b_clean")
+    near = a.join(b, meet).where(
+        (F.abs(F.col("a_len") - F.col("b_len")) < either * slack + 1e-9)
+        & (F.abs(F.col("a_pos") - F.col("b_pos")) < F.greatest(either * slack, F.lit(1.0)) + 1e-9))
+    total = F.length("a_clean") + F.length("b_clean")
+    # names only travel once; their cleaned forms are cheap to make again
+    pairs = near.groupBy("return_id", "a", "b").agg(F.expr("count_if(q = 3) AS runs"))
+    pairs = pairs.withColumns({"a_clean": name_clean("a"), "b_clean": name_clean("b")})
+    pairs = pairs.where((total <= 16) | (F.col("a_clean") == F.col("b_clean")) | (F.col("runs") > total * fewest - 2 - 1e-9))
+    # kept from moving below the aggregate, where it would score every shared run
+    score = similarity.asNondeterministic()("a_clean", "b_clean") if ratio == "matching" else levenshtein_ratio("a_clean", "b_clean")
     return pairs.withColumn("ratio", score).where(F.col("ratio") > threshold).select("return_id", "a", "b", "ratio")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosstie import dims as D
-from crosstie.functions.scalar import DASH, fmt_diff, fmt_value, safe_float, sign_flip
+from crosstie.functions.scalar import DASH, fmt_amount, fmt_diff, fmt_value, safe_float, value_number
 from crosstie.operators.reshape import form_rows, value_map
 
 _KEYS = ["return_id", "tax_year", "sub_no", "entity_code", "entity_name"]
@@ -52,9 +52,9 @@ def form_view(facts: DataFrame, form: str) -> DataFrame:
     fields = _lines(form)
     rows = value_map(form_rows(facts, form, [f"{form}_{f.name}" for f in fields]), _KEYS)
     long = rows.selectExpr(*_KEYS, "m", f"inline(array({_field_structs(form, fields)}))")
-    raw = F.coalesce(F.expr("m[path]"), F.lit(""))
+    long = long.withColumn("raw", F.coalesce(F.expr("m[path]"), F.lit(""))).withColumn("num", value_number("raw", F.col("sign")))
     return long.select("return_id", "tax_year", "entity_code", "line_no", "line", "description",
-                       fmt_value(raw, F.col("type"), F.col("sign")).alias("amount"))
+                       fmt_value("raw", F.col("type"), F.col("sign"), F.col("num")).alias("amount"))
 
 
 def balance_view(facts: DataFrame) -> DataFrame:
@@ -64,12 +64,14 @@ def balance_view(facts: DataFrame) -> DataFrame:
     paths = [f"{D.SCH_F}_{t(c)}" for c, _, _ in D.BALANCE_PAIRS for t in (D.begin_tag, D.end_tag)]
     rows = value_map(form_rows(facts, D.SCH_F, paths), _KEYS)
     cells = ", ".join(
-        f"named_struct('line_no', {ln}, 'description', {lit(d)}, 'b', coalesce(m['{D.SCH_F}_{D.begin_tag(c)}'], ''),"
-        f" 'e', coalesce(m['{D.SCH_F}_{D.end_tag(c)}'], ''))" for c, ln, d in D.BALANCE_PAIRS)
-    amount, none = F.lit("amount"), F.lit("")
-    return rows.selectExpr(*_KEYS, f"inline(array({cells}))").select(
+        f"named_struct('line_no', {ln}, 'description', {lit(d)}, 'b_path', '{D.SCH_F}_{D.begin_tag(c)}',"
+        f" 'e_path', '{D.SCH_F}_{D.end_tag(c)}')" for c, ln, d in D.BALANCE_PAIRS)
+    long = rows.selectExpr(*_KEYS, "m", f"inline(array({cells}))").withColumns(
+        {n: F.expr(f"coalesce(m[{n}_path], '')") for n in "be"})
+    long = long.withColumns({f"{n}_num": safe_float(n) for n in "be"})
+    return long.select(
         "return_id", "tax_year", "entity_code", "line_no", "description",
-        fmt_value("b", amount, none).alias("beginning"), fmt_value("e", amount, none).alias("ending"))
+        fmt_amount("b", num=F.col("b_num")).alias("beginning"), fmt_amount("e", num=F.col("e_num")).alias("ending"))
 
 
 def form_comparison(facts: DataFrame, form: str, py: int, cy: int) -> DataFrame:
@@ -85,11 +87,12 @@ def form_comparison(facts: DataFrame, form: str, py: int, cy: int) -> DataFrame:
         for y, n in ((py, "p"), (cy, "c"))])
     long = pair.where("size(p) > 0 AND size(c) > 0").selectExpr(
         "return_id", "entity_code", "p", "c", f"inline(array({_field_structs(prefix, fields)}))")
-    raw = {n: F.coalesce(F.expr(f"{n}[path]"), F.lit("")) for n in "pc"}
-    shown = {n: fmt_value(raw[n], F.col("type"), F.col("sign")) for n in "pc"}
-    num = {n: sign_flip(F.coalesce(safe_float(raw[n]), F.lit(0.0)), F.col("sign")) for n in "pc"}
+    long = long.withColumns({f"{n}_raw": F.coalesce(F.expr(f"{n}[path]"), F.lit("")) for n in "pc"})
+    long = long.withColumns({f"{n}_num": value_number(f"{n}_raw", F.col("sign")) for n in "pc"})
+    long = long.withColumn("delta", F.expr("coalesce(c_num, 0D) - coalesce(p_num, 0D)"))
+    shown = {n: fmt_value(f"{n}_raw", F.col("type"), F.col("sign"), F.col(f"{n}_num")) for n in "pc"}
     diff = (
-        F.when(F.col("type") == "amount", fmt_diff(num["c"] - num["p"]))
+        F.when(F.col("type") == "amount", fmt_diff(F.col("delta")))
         .when((F.col("type") == "indicator") & (F.col("py_value") != F.col("cy_value")), "CHANGED")
         .otherwise(DASH)
     )

@@ -76,15 +76,21 @@ def field_text(m: str, *paths: str) -> str:
     return "coalesce(" + ", ".join(f"nullif({m}['{p}'], '')" for p in paths) + ", '')"
 
 
-Line = tuple[str, str, str, str]  # description, line, prior SQL, current SQL
+Line = tuple[str, str, list[str], list[str]]  # description, line, prior paths, current paths
 
 
 def _items(pairs: DataFrame, report: str, lines: Iterable[Line]) -> DataFrame:
-    cells = ", ".join(
-        f"named_struct('description', {lit(d)}, 'line', {lit(ln)}, 'py_value', {p}, 'cy_value', {c})"
-        for d, ln, p, c in lines)
-    return pairs.selectExpr("return_id", f"{lit(report)} AS report", "entity_name", "entity_code",
-                            f"inline(array({cells}))")
+    """One row per pair and report line.  The lines are one literal array, so
+    the look-up is written once however many lines a report has."""
+    def paths(xs: list[str]) -> str:
+        return ", ".join(f"'{xs[i] if i < len(xs) else xs[0]}'" for i in range(2))
+
+    cells = ", ".join(f"struct({lit(d)} AS description, {lit(ln)} AS line, array({paths(p)}) AS pp, array({paths(c)}) AS cc)"
+                      for d, ln, p, c in lines)
+    rows = pairs.selectExpr("return_id", "entity_name", "entity_code", "p", "c", f"inline(array({cells}))")
+    value = "coalesce(nullif({m}[{a}[0]], ''), nullif({m}[{a}[1]], ''), '') AS {n}"
+    return rows.selectExpr("return_id", f"{lit(report)} AS report", "entity_name", "entity_code", "description", "line",
+                           value.format(m="p", a="pp", n="py_value"), value.format(m="c", a="cc", n="cy_value"))
 
 
 def _with_difference(items: DataFrame) -> DataFrame:
@@ -108,8 +114,7 @@ def _balances(items: DataFrame, limit: float) -> DataFrame:
 
 def _schf_lines() -> list[Line]:
     return [
-        (desc, "", field_text("p", f"{D.SCH_F}_{e}", f"{D.MAIN}_{D.SCH_F}_{e}"),
-         field_text("c", f"{D.SCH_F}_{b}", f"{D.MAIN}_{D.SCH_F}_{b}"))
+        (desc, "", [f"{D.SCH_F}_{e}", f"{D.MAIN}_{D.SCH_F}_{e}"], [f"{D.SCH_F}_{b}", f"{D.MAIN}_{D.SCH_F}_{b}"])
         for concept, _, desc in D.BALANCE_PAIRS
         for e, b in [(D.end_tag(concept), D.begin_tag(concept))]
     ]
@@ -169,7 +174,7 @@ def page1_rollover(facts: DataFrame, py: int, cy: int, fields: list[tuple[str, s
     """Identity fields stay the same; case and outer blanks do not matter."""
     fields = fields or D.PAGE1_FIELDS
     pairs = matched(facts, py, cy, {D.MAIN: [f for f, _, _ in fields]})
-    lines = [(d, ln, field_text("p", f"{D.MAIN}_{f}"), field_text("c", f"{D.MAIN}_{f}")) for f, d, ln in fields]
+    lines = [(d, ln, [f"{D.MAIN}_{f}"], [f"{D.MAIN}_{f}"]) for f, d, ln in fields]
     return (_some(_items(pairs, D.REPORTS[2], lines))
             .withColumn("difference", F.lit(0.0))
             .withColumn("passes", F.expr("upper(trim(py_value)) = upper(trim(cy_value))")).select(*ITEM_COLUMNS))
@@ -181,14 +186,13 @@ def schj_rollover(facts: DataFrame, py: int, cy: int) -> DataFrame:
     pools = [p for p, _ in D.RULE_POOLS]
     pairs = matched(facts, py, cy, {D.SCH_J: [f"{p}_{D.J_EOY}" for p in pools]},
                     {D.SCH_J: [f"{p}_{D.J_BOY}" for p in pools]})
-    lines = [(d, "J", field_text("p", f"{D.SCH_J}_{p}_{D.J_EOY}"), field_text("c", f"{D.SCH_J}_{p}_{D.J_BOY}"))
-             for p, d in D.RULE_POOLS]
+    lines = [(d, "J", [f"{D.SCH_J}_{p}_{D.J_EOY}"], [f"{D.SCH_J}_{p}_{D.J_BOY}"]) for p, d in D.RULE_POOLS]
     return _balances(_items(pairs, D.REPORTS[1], lines), 1.0)
 
 
 def _movement(facts: DataFrame, py: int, cy: int, form: str, report: str, fields: list[tuple[str, str, str]]) -> DataFrame:
     pairs = matched(facts, py, cy, {form: [f for f, _, _ in fields]})
-    lines = [(d, ln, field_text("p", f"{form}_{f}"), field_text("c", f"{form}_{f}")) for f, d, ln in fields]
+    lines = [(d, ln, [f"{form}_{f}"], [f"{form}_{f}"]) for f, d, ln in fields]
     return (_with_difference(_some(_items(pairs, report, lines)))
             .withColumn("passes", F.lit(True)).select(*ITEM_COLUMNS))
 
@@ -232,8 +236,7 @@ def schg_changes(facts: DataFrame, py: int, cy: int) -> DataFrame:
     """Indicators whose raw text changed; a missing one shows as a dash."""
     tags = [f"{D.SCH_G}_{f}" for f, _, _ in D.INDICATOR_REPORT_FIELDS]
     pairs = matched(facts, py, cy, {D.MAIN: tags})
-    lines = [(d, ln, field_text("p", f"{D.MAIN}_{t}"), field_text("c", f"{D.MAIN}_{t}"))
-             for t, (_, d, ln) in zip(tags, D.INDICATOR_REPORT_FIELDS)]
+    lines = [(d, ln, [f"{D.MAIN}_{t}"], [f"{D.MAIN}_{t}"]) for t, (_, d, ln) in zip(tags, D.INDICATOR_REPORT_FIELDS)]
     dash = {c: F.when(F.col(c) == "", F.lit(DASH)).otherwise(F.col(c)) for c in ("py_value", "cy_value")}
     return (_items(pairs, D.REPORTS[6], lines).where("py_value <> cy_value").withColumns(dash)
             .withColumn("difference", F.lit(0.0)).withColumn("passes", F.lit(False)).select(*ITEM_COLUMNS))
@@ -264,8 +267,7 @@ def rollover_exact(facts: DataFrame, py: int, cy: int) -> DataFrame:
     ends = {D.SCH_F: [D.end_tag(c) for c, _, _ in D.BALANCE_PAIRS]}
     begins = {D.SCH_F: [D.begin_tag(c) for c, _, _ in D.BALANCE_PAIRS]}
     pairs = matched(facts, py, cy, ends, begins, "first")
-    lines = [(d, ln, field_text("p", f"{D.SCH_F}_{D.end_tag(c)}"), field_text("c", f"{D.SCH_F}_{D.begin_tag(c)}"))
-             for c, ln, d in D.BALANCE_PAIRS]
+    lines = [(d, ln, [f"{D.SCH_F}_{D.end_tag(c)}"], [f"{D.SCH_F}_{D.begin_tag(c)}"]) for c, ln, d in D.BALANCE_PAIRS]
     zero = {c: F.coalesce(safe_float(c), F.lit(0.0)) for c in ("py_value", "cy_value")}
     return (_items(pairs, "Sch F exact", lines)
             .withColumn("status", F.when(F.abs(zero["py_value"] - zero["cy_value"]) < 0.01, "PASS").otherwise("FAIL"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from crosstie import dims as D
 from crosstie import workbook_dims as W
@@ -16,6 +17,7 @@ from crosstie.operators.reshape import quote
 from crosstie.plans import fixture as X
 from crosstie.plans.fixture import every
 from crosstie.plans.store import stored_path, stored_table
+from crosstie.sources.xml import discover_schema
 
 SLOTS = 200
 BUCKET, SLOT = f"CAST(floor(k / {SLOTS}) AS INT)", f"CAST(k % {SLOTS} AS INT)"
@@ -268,3 +270,14 @@ def write_documents(base: DataFrame, path: str) -> None:
 
 def document_path(spark: SparkSession, sf_dir: str) -> str:
     return stored_path(spark, sf_dir, "documents", lambda p: write_documents(X.customers(spark, sf_dir), p))
+
+
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
+def document_schema(spark: SparkSession, sf_dir: str) -> T.StructType:
+    """Schema of the documents, discovered once per application."""
+    path = document_path(spark, sf_dir)
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = discover_schema(spark, path)
+    return _SCHEMAS[path]

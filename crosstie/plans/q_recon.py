@@ -351,10 +351,8 @@ _BY_DOC = QU.ENTITY.replace("FROM cust)", f"FROM (SELECT * REPLACE (concat(seg,
 
 @query("stream_single_year", QU._ONE_YEAR, ctes=_BY_DOC)
 def _stream(spark, sf_dir):
-    from crosstie.sources.xml import discover_schema
-
     path, out = I.document_path(spark, sf_dir), shared_dir(spark, "stream")
-    schema = discover_schema(spark, path)
+    schema = I.document_schema(spark, sf_dir)
     run = stream_single_year(spark, path, schema, CY, out, f"{out}-state")
     run.awaitTermination()
     return QU.short(spark.read.parquet(out))

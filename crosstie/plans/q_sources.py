@@ -24,15 +24,16 @@ _SIDES = "(SELECT *, 'p' AS side, 1996 AS y, name_p AS nm, ccy_p AS ccy FROM cus
 # XML -------------------------------------------------------------------------------
 
 
-def _returns(spark, sf_dir):
-    path = I.document_path(spark, sf_dir)
-    return xml.scan_returns(spark, path), xml.return_header(spark, path)
+def _returns(spark, sf_dir, identity: bool = False):
+    path, schema = I.document_path(spark, sf_dir), I.document_schema(spark, sf_dir)
+    schema = xml.identity_schema(schema) if identity else schema
+    return xml.scan_returns(spark, path, schema), xml.return_header(spark, path)
 
 
 @query("scan_returns", f"SELECT {_DOC} AS filer_ein, CAST(y AS STRING) AS tax_year, count(*) AS returns, count(*) AS with_data"
        f" FROM {_SIDES} GROUP BY 1, 2")
 def _scan(spark, sf_dir):
-    returns, headers = _returns(spark, sf_dir)
+    returns, headers = _returns(spark, sf_dir, identity=True)
     per_file = returns.groupBy("source_path").agg(F.expr("count(*) AS returns"), F.expr("count(ReturnData) AS with_data"))
     return per_file.join(headers, "source_path").select("filer_ein", "tax_year", "returns", "with_data")
 
@@ -59,7 +60,7 @@ def _with_filer(rows, headers):
 
 @query("list_entities", f"SELECT {_LIST} FROM {_SIDES}")
 def _list(spark, sf_dir):
-    returns, headers = _returns(spark, sf_dir)
+    returns, headers = _returns(spark, sf_dir, identity=True)
     return _with_filer(xml.list_entities(returns), headers)
 
 
@@ -71,7 +72,7 @@ _CATS = "concat_ws(',', CASE WHEN k % 2 = 0 THEN '1a,1b,1c' END, '4', CASE WHEN
        f" UNION ALL SELECT {_LIST}, '', CASE WHEN k % 4 = 0 THEN '0.75' ELSE '1' END, {_CATS}, concat('City ', CAST(nat AS STRING)), true"
        f" FROM {_SIDES} WHERE side = 'c' AND k % 77 = 0")
 def _info(spark, sf_dir):
-    returns, headers = _returns(spark, sf_dir)
+    returns, headers = _returns(spark, sf_dir, identity=True)
     rows = xml.entities(returns).withColumn("categories", F.array_join("category_filers", ",")).withColumn("city", F.col("address.city"))
     return _with_filer(rows.drop("category_filers", "address"), headers)
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from crosstie import dims as D
 from crosstie.functions.scalar import DASH, fmt_amount, fmt_diff, fmt_value, safe_float, value_number
 from crosstie.operators.reshape import form_rows, value_map
+from crosstie.operators.rollover import matched
+from crosstie.operators.rules import lit
 
 _KEYS = ["return_id", "tax_year", "sub_no", "entity_code", "entity_name"]
 
@@ -39,8 +41,6 @@ def _lines(form: str) -> list[D.Field]:
 
 
 def _field_structs(form: str, fields: list[D.Field]) -> str:
-    from crosstie.operators.rules import lit
-
     return ", ".join(
         f"named_struct('line_no', {i}, 'line', {lit(f.line)}, 'description', {lit(f.description)},"
         f" 'type', '{f.type}', 'sign', {lit(f.sign or '')}, 'path', '{form}_{f.name}')"
@@ -59,8 +59,6 @@ def form_view(facts: DataFrame, form: str) -> DataFrame:
 
 def balance_view(facts: DataFrame) -> DataFrame:
     """Balance sheet lines with beginning and end amounts side by side."""
-    from crosstie.operators.rules import lit
-
     paths = [f"{D.SCH_F}_{t(c)}" for c, _, _ in D.BALANCE_PAIRS for t in (D.begin_tag, D.end_tag)]
     rows = value_map(form_rows(facts, D.SCH_F, paths), _KEYS)
     cells = ", ".join(
@@ -80,13 +78,10 @@ def form_comparison(facts: DataFrame, form: str, py: int, cy: int) -> DataFrame:
     inline = form == D.SCH_G  # indicators are filed inside the main form
     source = D.MAIN if inline else form
     prefix = f"{D.MAIN}_{form}" if inline else form
-    paths = [f"{prefix}_{f.name}" for f in fields]
-    rows = form_rows(facts.where(F.col("tax_year").isin(py, cy)), source, paths).where("entity_code <> ''")
-    pair = rows.groupBy("return_id", "entity_code").agg(*[
-        F.expr(f"map_from_entries(collect_list(CASE WHEN tax_year = {y} THEN struct(path, value) END)) AS {n}")
-        for y, n in ((py, "p"), (cy, "c"))])
-    long = pair.where("size(p) > 0 AND size(c) > 0").selectExpr(
-        "return_id", "entity_code", "p", "c", f"inline(array({_field_structs(prefix, fields)}))")
+    tags = [f"{form}_{f.name}" if inline else f.name for f in fields]
+    pairs = matched(facts, py, cy, {source: tags}, instance="first")
+    both = pairs.where(F.expr(f"p['{source}'] IS NOT NULL AND c['{source}'] IS NOT NULL"))
+    long = both.selectExpr("return_id", "entity_code", "p", "c", f"inline(array({_field_structs(prefix, fields)}))")
     long = long.withColumns({f"{n}_raw": F.coalesce(F.expr(f"{n}[path]"), F.lit("")) for n in "pc"})
     long = long.withColumns({f"{n}_num": value_number(f"{n}_raw", F.col("sign")) for n in "pc"})
     long = long.withColumn("delta", F.expr("coalesce(c_num, 0D) - coalesce(p_num, 0D)"))

@@ -33,13 +33,12 @@ def basket_pairs(facts: DataFrame, py: int, cy: int, pools: list[str], unknown:
     """Prior-year Schedules J with the first current-year one of the same
     entity and basket (NULL map ``c`` when the basket is missing).  Totals and
     entities without any current-year Schedule J are left out."""
+    keys = ["return_id", "entity_code"]
     old = pool_rows(facts, py, D.J_EOY, pools, unknown).where("basket <> 'TOTAL'").withColumnRenamed("m", "p")
-    new = (pool_rows(facts, cy, D.J_BOY, pools, unknown)
-           .groupBy("return_id", "entity_code")
-           .agg(F.expr("array_sort(collect_list(struct(sub_no, instance, basket, map_entries(m) AS es))) AS js")))
-    hit = "map_from_entries(get(filter(js, j -> j.basket = basket), 0).es)"
-    return old.join(new, ["return_id", "entity_code"]).selectExpr(
-        "return_id", "entity_code", "entity_name", "sub_no", "instance", "basket", "p", f"{hit} AS c")
+    first = pool_rows(facts, cy, D.J_BOY, pools, unknown).groupBy(*keys, "basket").agg(
+        F.expr("min_by(m, struct(sub_no, instance)) AS c"))
+    return (old.join(first.select(*keys).distinct(), keys, "left_semi").join(first, [*keys, "basket"], "left")
+            .select("return_id", "entity_code", "entity_name", "sub_no", "instance", "basket", "p", "c"))
 
 
 def _pool_cells(pairs: DataFrame, pools: list[tuple[str, str]]) -> DataFrame:

@@ -58,7 +58,9 @@ def match_entities(py: DataFrame, cy: DataFrame) -> DataFrame:
 
     by_code = last(cy.where("coalesce(entity_code, '') <> ''"), "entity_code", "k_code")
     by_name = last(cy, "lower(entity_name)", "k_name")
-    left = py.withColumns({"k_code": F.nullif("entity_code", F.lit("")), "k_name": F.lower("entity_name")})
+    # rows without a code get a key of their own, so they do not pile up in one task
+    code = F.expr("coalesce(nullif(entity_code, ''), concat('\\u0000', sub_no))")
+    left = py.withColumns({"k_code": code, "k_name": F.lower("entity_name")})
     hit = (left.join(by_code, ["return_id", "k_code"], "left").join(by_name, ["return_id", "k_name"], "left")
            .withColumn("hit", F.coalesce("k_code_hit", "k_name_hit")).where("hit IS NOT NULL"))
     return hit.selectExpr("return_id", "entity_name", "entity_code", "sub_no AS py_sub", "hit.sub_no AS cy_sub",

@@ -45,7 +45,8 @@ def matrix_schedules(cells: DataFrame, schedules: list[str] | None = None) -> Da
         for s, m in W.MATRIX_LAYOUTS.items() if s in schedules)
     columns = (cells.where(where).where("value IS NOT NULL").groupBy(*SHEET_KEYS, "col")
                .agg(F.expr("map_from_entries(collect_list(struct(row, value))) AS m")))
-    named = columns.join(_sized_sheets(cells, schedules), SHEET_KEYS)
+    # one row per sheet, looked up salted: a workbook may hold most of all columns
+    named = salted_lookup(columns, _sheet_schedules(cells, schedules), SHEET_KEYS, "col", how="inner")
     head = "CASE schedule " + " ".join(f"WHEN '{s}' THEN {W.MATRIX_LAYOUTS[s].header_row}" for s in schedules) + " END"
     first = "CASE schedule " + " ".join(f"WHEN '{s}' THEN {W.MATRIX_LAYOUTS[s].first_row}" for s in schedules) + " END"
     named = named.withColumn("code", F.expr(_text(f"m[{head}]"))).where("code <> ''")
@@ -64,7 +65,7 @@ def matrix_schedules(cells: DataFrame, schedules: list[str] | None = None) -> Da
                           "coalesce(m[first_row + o], '0') AS value").withColumn("num", F.expr(number("value")))
 
 
-def _sized_sheets(cells: DataFrame, schedules: list[str]) -> DataFrame:
+def _sheet_schedules(cells: DataFrame, schedules: list[str]) -> DataFrame:
     return schedule_sheets(cells, schedules).select(*SHEET_KEYS, "schedule")
 
 
@@ -72,10 +73,12 @@ def _row_maps(cells: DataFrame, schedule: str, first_row: int) -> DataFrame:
     """One row per sheet row with a column -> value map."""
     sheets = W.SHEET_CANDIDATES.get(schedule, [schedule])
     rows = cells.where(F.col("sheet").isin(*sheets) & (F.col("row") >= first_row) & F.col("value").isNotNull())
-    if schedule in W.SHEET_CANDIDATES and len(sheets) > 1:
-        rows = rows.join(_sized_sheets(cells, [schedule]).drop("schedule"), SHEET_KEYS, "left_semi")
-    return rows.groupBy("workbook_id", "sheet", "row").agg(
+    rows = rows.groupBy("workbook_id", "sheet", "row").agg(
         F.expr("map_from_entries(collect_list(struct(col, value))) AS m"))
+    if schedule in W.SHEET_CANDIDATES and len(sheets) > 1:
+        chosen = _sheet_schedules(cells, [schedule]).drop("schedule")
+        rows = salted_lookup(rows, chosen, SHEET_KEYS, "row", how="inner")
+    return rows
 
 
 def positional_rows(cells: DataFrame, schedule: str) -> DataFrame:

@@ -43,6 +43,13 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+    """Broadcasts a caller's table only when the optimizer's size estimate is
+    below the limit; otherwise the join strategy is left to Spark."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= limit else df
+
+
 def salted_lookup(big: DataFrame, small: DataFrame, keys: list[str], spread: str, buckets: int = 16,
                   how: str = "left") -> DataFrame:
     """Join per-key summaries back to their rows without gathering a hot key.

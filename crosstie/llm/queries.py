@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosstie.llm import line_quality, token_counts
+from crosstie.llm import line_quality, quality_votes, token_counts, toxicity
 from crosstie.llm.common import table
 from crosstie.session import shared_dir
 
@@ -74,6 +74,27 @@ def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out(parts: int, rest: int):
+    """Whether the remainder of the id's checksum keeps a document out of training."""
+    return F.crc32(F.col("doc_id").cast("string")) % parts == rest
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; labels of held-out documents are not learnt."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out(4, 2)))
+    return toxicity.score(docs, model).select("doc_id", held_out(4, 2).alias("held_out"), "score", "predicted")
+
+
+@query("op5_quality_votes")
+def op5_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; labels of held-out documents are not learnt."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality_votes.fit(docs, table(spark, sf_dir, "labels").where(~held_out(3, 1)))
+    return quality_votes.score(docs, model).select("doc_id", held_out(3, 1).alias("held_out"), "score", "predicted")
+
+
 @query("op6_token_counts")
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted through a cache that starts empty."""

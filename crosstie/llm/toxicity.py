@@ -10,8 +10,10 @@ subsequence; the score of a sentence is that of its most toxic piece.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -20,18 +22,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosstie.llm.common import ship
+from crosstie.llm.common import saved, ship
 
 ship(__name__)
 
-#: places (relative to the first letter) of four-letter subsequences, and the weight of their gaps
+#: places (relative to the first letter) of four- and five-letter subsequences, and the weight of their gaps
 PATTERNS = [((1, 2, 3), 1.0), ((1, 2, 4), 0.5), ((1, 3, 4), 0.5), ((2, 3, 4), 0.5),
-            ((1, 2, 5), 0.25), ((1, 4, 5), 0.25), ((2, 3, 5), 0.25), ((2, 4, 5), 0.25), ((1, 3, 5), 0.25), ((3, 4, 5), 0.25)]
+            ((1, 2, 5), 0.25), ((1, 4, 5), 0.25), ((2, 3, 5), 0.25), ((2, 4, 5), 0.25), ((1, 3, 5), 0.25), ((3, 4, 5), 0.25),
+            ((1, 2, 3, 4), 1.0), ((1, 2, 3, 5), 0.5), ((1, 2, 4, 5), 0.5), ((1, 3, 4, 5), 0.5), ((2, 3, 4, 5), 0.5)]
 BUCKETS = 1 << 18
 #: letters of a piece; longer pieces are cut into overlapping parts
 PIECE, OVERLAP = 24, 12
 #: bounds of the training sample
-DOCS_PER_CLASS, TOXIC_PIECES, CLEAN_PIECES, LANDMARKS = 3000, 1500, 12_000, 320
+DOCS_PER_CLASS, TOXIC_PIECES, CLEAN_PIECES, HARD_PIECES, LANDMARKS = 3000, 1500, 12_000, 4000, 320
+#: letters of a stem, and the chance at which toxic documents hold a piece too often
+STEM, CHANCE = 6, 1e-7
+#: toxic pieces that are altered, altered copies of each, steepness of the calibration
+ALTERED, COPIES, SLOPE = 300, 6, 4.0
 #: signs that stand for letters
 LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
 SPELT = re.compile(r"(?<!\S)(?:\w[\s.*_-]{1,2}){3,}\w(?!\w)")
@@ -58,12 +65,27 @@ def letters(word: str) -> str:
 
 
 def parts(word: str) -> list[str]:
+    """Letters of a word between marks of its start and end, long words in parts."""
     s = letters(word)
+    if len(s) < 4:
+        return []
+    s = f"^{s}$"
     if len(s) <= PIECE:
-        return [s] if len(s) >= 4 else []
+        return [s]
     return [s[i:i + PIECE] for i in range(0, len(s) - OVERLAP, PIECE - OVERLAP)]
 
 
+def _altered(pieces: list[str], copies: int) -> list[str]:
+    """Copies with a letter put in or doubled at a place that follows from the piece."""
+    out = []
+    for p in pieces:
+        for k in range(copies):
+            seed = zlib.crc32(f"{p}{k}".encode())
+            at = 2 + seed % max(1, len(p) - 3)
+            out.append(p[:at] + (p[at - 1] if k % 3 == 0 else "abcdefghijklmnopqrstuvwxyz"[seed // 97 % 26]) + p[at:])
+    return out
+
+
 def raw_pieces(text: str) -> set[str]:
     """Words of a whole text, and its words spelt out letter by letter."""
     out = set(text.split())
@@ -81,9 +103,10 @@ def subsequences(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     rows, ids, values = [], [], []
     n = width - 5
     for at, weight in PATTERNS:
-        a, b, c, d = (codes[:, k:k + n] for k in (0, *at))
-        r, col = np.nonzero(d)
-        key = ((a[r, col] * 1_000_003 + b[r, col]) * 1_000_003 + c[r, col]) * 1_000_003 + d[r, col]
+        r, col = np.nonzero(codes[:, at[-1]:at[-1] + n])
+        key = codes[r, col]
+        for k in at:
+            key = key * 1_000_003 + codes[r, col + k]
         key ^= key >> 29
         rows.append(r)
         ids.append((key * 0x9E3779B97F4A7C1 >> 20) & (BUCKETS - 1))
@@ -174,20 +197,12 @@ def _train(toxic: list[str], clean: list[str]) -> tuple[np.ndarray, float]:
     return weights, float(w[-1])
 
 
-def _calibrated(values: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve through the best values of the sample."""
-    a, b = 4.0, 0.0
-    x = np.c_[values, np.ones(len(values))]
-    balance = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * values + b, -30, 30)))
-        g = x.T @ (balance * (p - y)) + 1e-2 * np.array([a - 4.0, b])
-        h = x.T @ (x * (balance * p * (1 - p))[:, None]) + 1e-2 * np.eye(2)
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-6:
-            break
-    return float(a), float(b)
+def _calibrated(values: np.ndarray, y: np.ndarray, threshold: float) -> tuple[float, float]:
+    """Logistic curve that reaches the threshold midway between the upper end of
+    the clean and the lower end of the toxic documents of the sample."""
+    clean, toxic = np.quantile(values[y == 0], 0.995), np.quantile(values[y > 0], 0.1)
+    cut = max((clean + toxic) / 2, np.quantile(values[y == 0], 0.95))
+    return SLOPE, float(np.log(threshold / (1 - threshold)) - SLOPE * cut)
 
 
 def _sample(docs: DataFrame, labels: DataFrame, label_col: str) -> DataFrame:
@@ -199,35 +214,54 @@ def _sample(docs: DataFrame, labels: DataFrame, label_col: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", threshold: float = 0.3) -> Model:
     """Trains on the sentences of a bounded sample of labelled documents.
 
-    A sentence of a clean document is clean.  A sentence of a toxic document is
-    labelled toxic by its pieces that no clean sample document holds and several
-    toxic ones do (also by their first five letters); its other pieces say
-    nothing and are left out.  Without both classes the score is constant.
+    Every sentence of a clean document is clean.  A sentence of a toxic document
+    is labelled toxic by those of its pieces that toxic documents hold far too
+    often for chance and clean ones hardly ever, taken by themselves or with the
+    pieces that begin with the same five letters; its other pieces say nothing
+    and are left out.  The clean pieces nearest to the first machine join the
+    clean side of the second.  Without both classes the score is constant.
     """
-    sample = _sample(docs, labels, label_col)
+    sample = saved(_sample(docs, labels, label_col), "toxicity-sample")
+    sizes = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
+    if not sizes.get(0) or not sizes.get(1):
+        return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, 2.0 if sizes.get(1) else -2.0)
+    least = math.ceil(math.log(CHANCE) / math.log(sizes[1] / (sizes[0] + sizes[1])))
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            seen = [(y, p) for y, t in zip(b["y"], b["text"]) for p in {
-                q for s in SENTENCE.split(t) for w in raw_pieces(s) for q in parts(w)}]
-            yield pd.DataFrame(seen, columns=["y", "piece"])
-
-    counted = (
-        sample.mapInPandas(pieces, "y int, piece string").groupBy("piece")
-        .agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
-        .withColumn("stem", F.substring("piece", 1, 5))
-    )
-    stems = counted.groupBy("stem").agg(F.sum("toxic").alias("stem_toxic"), F.sum("clean").alias("stem_clean"))
-    both = counted.join(stems, "stem")
-    only = (F.col("clean") == 0) & ((F.col("toxic") >= 5) | (F.col("stem_clean") == 0) & (F.col("stem_toxic") >= 8))
-    toxic = [r.piece for r in both.where(only).orderBy(F.desc("toxic"), F.desc("stem_toxic"), "piece").limit(TOXIC_PIECES).collect()]
-    clean = [r.piece for r in counted.where("clean > 0").orderBy(F.xxhash64("piece"), "piece").limit(CLEAN_PIECES).collect()]
+            seen = []
+            for y, t in zip(b["y"], b["text"]):
+                found = {q for s in SENTENCE.split(t) for w in raw_pieces(s) for q in parts(w)}
+                seen += [(y, p, False) for p in found] + [(y, p, True) for p in {q[:STEM] for q in found}]
+            yield pd.DataFrame(seen, columns=["y", "piece", "is_stem"])
+
+    counted = saved(
+        sample.mapInPandas(pieces, "y int, piece string, is_stem boolean").groupBy("piece", "is_stem")
+        .agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean")), "toxicity-pieces")
+    telling = counted.where((F.col("toxic") >= least) & (F.col("clean") * 20 <= F.col("toxic")))
+    whole = counted.where(~F.col("is_stem"))
+    stems = telling.where("is_stem").select(F.col("piece").alias("stem"))
+    marked = telling.where(~F.col("is_stem")).select("piece", "toxic").union(
+        whole.where("clean = 0").join(stems, F.substring("piece", 1, STEM) == F.col("stem"), "left_semi").select("piece", "toxic"))
+    toxic = [r.piece for r in marked.groupBy("piece").agg(F.max("toxic").alias("n")).orderBy(F.desc("n"), "piece")
+             .limit(TOXIC_PIECES).collect()]
+    others = whole.where("clean > 0").select("piece")
+    clean = [r.piece for r in others.orderBy(F.xxhash64("piece"), "piece").limit(CLEAN_PIECES).collect()]
+    shared = set(toxic)
+    clean = [p for p in clean if p not in shared]
     if not toxic or not clean:
-        return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, -2.0 if clean else 0.0)
-    weights, bias = _train(toxic, clean)
+        return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, -2.0)
+    toxic += sorted(set(_altered(toxic[:ALTERED], COPIES)) - set(clean) - shared)
+    first = Model(*_train(toxic, clean), 1.0, 0.0)
+
+    def nearness(pieces: pd.Series) -> pd.Series:
+        return pd.Series(piece_values(first, pieces.tolist()))
+
+    hard = [r.piece for r in others.select("piece", F.pandas_udf(nearness, "double")("piece").alias("v")).orderBy(F.desc("v"), "piece").limit(HARD_PIECES).collect()]
+    weights, bias = _train(toxic, clean + sorted(set(hard) - set(clean) - set(toxic)))
     raw = Model(weights, bias, 1.0, 0.0)
 
     def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -236,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Model:
             yield pd.DataFrame({"y": b["y"], "v": best_values(raw, b["text"].tolist(), cache)})
 
     seen = sample.mapInPandas(values, "y int, v double").toPandas()
-    slope, shift = _calibrated(seen["v"].to_numpy(), seen["y"].to_numpy(np.float64))
+    slope, shift = _calibrated(seen["v"].to_numpy(), seen["y"].to_numpy(), threshold)
     return Model(weights, bias, slope, shift)
 
 

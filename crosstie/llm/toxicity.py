@@ -151,10 +151,10 @@ def best_values(model: Model, texts: list[str], cache: dict[str, float]) -> np.n
     return np.array([max(map(cache.__getitem__, s), default=model.bias) for s in sets])
 
 
-def _support_vectors(z: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 30) -> np.ndarray:
+def _support_vectors(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, rounds: int = 30) -> np.ndarray:
     """Linear machine with squared hinge loss by Newton steps; the last weight is the bias."""
     x = np.hstack([z, np.ones((len(z), 1))])
-    balance = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y)
+    balance = weight * np.where(y > 0, 0.5 / weight[y > 0].sum(), 0.5 / weight[y < 0].sum()) * len(y)
     w = np.zeros(x.shape[1])
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-6
@@ -168,10 +168,10 @@ def _support_vectors(z: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int
     return w
 
 
-def _train(toxic: list[str], clean: list[str]) -> tuple[np.ndarray, float]:
+def _train(toxic: dict[str, float], clean: list[str]) -> tuple[np.ndarray, float]:
     """Nyström map on landmarks of both kinds, machine, and folding."""
-    marks = toxic[:LANDMARKS // 2] + clean[:LANDMARKS // 2]
-    pieces = toxic + clean
+    marks = list(toxic)[:LANDMARKS // 2] + clean[:LANDMARKS // 2]
+    pieces = [*toxic, *clean]
     y = np.r_[np.ones(len(toxic)), -np.ones(len(clean))]
     rows, ids, values = subsequences(marks)
     known, col = np.unique(ids, return_inverse=True)
@@ -191,7 +191,7 @@ def _train(toxic: list[str], clean: list[str]) -> tuple[np.ndarray, float]:
         dense = np.zeros((len(some), known.size), np.float32)
         np.add.at(dense, (r[hit], at[hit]), v[hit])
         kernel[i:i + len(some)] = dense @ phi.T / np.maximum(norms, 1e-9)[:, None]
-    w = _support_vectors(kernel @ root, y)
+    w = _support_vectors(kernel @ root, y, np.r_[list(toxic.values()), np.ones(len(clean))])
     weights = np.zeros(BUCKETS, np.float32)
     weights[known] = (root @ w[:-1]) @ phi
     return weights, float(w[-1])
@@ -246,22 +246,24 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", threshold:
     stems = telling.where("is_stem").select(F.col("piece").alias("stem"))
     marked = telling.where(~F.col("is_stem")).select("piece", "toxic").union(
         whole.where("clean = 0").join(stems, F.substring("piece", 1, STEM) == F.col("stem"), "left_semi").select("piece", "toxic"))
-    toxic = [r.piece for r in marked.groupBy("piece").agg(F.max("toxic").alias("n")).orderBy(F.desc("n"), "piece")
-             .limit(TOXIC_PIECES).collect()]
+    # a piece weighs as the root of the toxic documents that hold it, an altered copy a part of that
+    toxic = {r.piece: math.sqrt(r.n) for r in marked.groupBy("piece").agg(F.max("toxic").alias("n")).orderBy(F.desc("n"), "piece")
+             .limit(TOXIC_PIECES).collect()}
     others = whole.where("clean > 0").select("piece")
     clean = [r.piece for r in others.orderBy(F.xxhash64("piece"), "piece").limit(CLEAN_PIECES).collect()]
-    shared = set(toxic)
-    clean = [p for p in clean if p not in shared]
+    clean = [p for p in clean if p not in toxic]
     if not toxic or not clean:
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, -2.0)
-    toxic += sorted(set(_altered(toxic[:ALTERED], COPIES)) - set(clean) - shared)
+    seen_clean = set(clean)
+    altered = {q: toxic[p] / COPIES for p in list(toxic)[:ALTERED] for q in _altered([p], COPIES) if q not in seen_clean}
+    toxic = toxic | {q: w for q, w in altered.items() if q not in toxic}
     first = Model(*_train(toxic, clean), 1.0, 0.0)
 
     def nearness(pieces: pd.Series) -> pd.Series:
         return pd.Series(piece_values(first, pieces.tolist()))
 
     hard = [r.piece for r in others.select("piece", F.pandas_udf(nearness, "double")("piece").alias("v")).orderBy(F.desc("v"), "piece").limit(HARD_PIECES).collect()]
-    weights, bias = _train(toxic, clean + sorted(set(hard) - set(clean) - set(toxic)))
+    weights, bias = _train(toxic, clean + [p for p in dict.fromkeys(hard) if p not in seen_clean and p not in toxic])
     raw = Model(weights, bias, 1.0, 0.0)
 
     def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosstie.llm import line_quality, quality_votes, token_counts, toxicity
+from crosstie.llm import line_quality, quality_votes, token_counts, toxicity, warc_index
 from crosstie.llm.common import table
 from crosstie.session import shared_dir
 
@@ -102,3 +102,19 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return token_counts.count_tokens(
         table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), shared_dir(spark, "token-cache"))
+
+
+@query("op10_warc_index", oracle="""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha1(h) AS sha FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY sha, payload_bytes) AS first_id FROM d)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(sha, (k // 4 * 5 + 1)::BIGINT, 5))::INTEGER >> ((3 - k % 4) * 5)::INTEGER) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM f
+""")
+def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as read back from the archives, through the merged index."""
+    captures = warc_index.archive_pages(table(spark, sf_dir, "pages"), shared_dir(spark, "archives"))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosstie.llm import line_quality, quality_votes, token_counts, toxicity, warc_index
+from crosstie.llm import line_quality, personal_data, quality_votes, token_counts, toxicity, warc_index
 from crosstie.llm.common import table
 from crosstie.session import shared_dir
 
@@ -87,6 +87,22 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out(4, 2).alias("held_out"), "score", "predicted")
 
 
+@query("op4_personal_data")
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the plain spans, and all selected spans, of every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = personal_data.find(docs, personal_data.fit(docs))
+
+    def joined(spans: str):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    def of(kind: str):
+        return F.filter("plain", lambda x: x["kind"] == kind)
+
+    return found.withColumn("plain", F.concat(*map(of, personal_data.KINDS))).select(
+        "doc_id", *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in personal_data.KINDS), F.sha2(joined("plain"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 @query("op5_quality_votes")
 def op5_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; labels of held-out documents are not learnt."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosstie.llm import line_quality, personal_data, quality_votes, token_counts, toxicity, warc_index
+from crosstie.llm import line_dedup, line_quality, personal_data, quality_votes, token_counts, toxicity, warc_index
 from crosstie.llm.common import table
 from crosstie.session import shared_dir
 
@@ -25,6 +25,13 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+@query("op1_line_dedup")
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What chunk dedup leaves of every document."""
+    return line_dedup.dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_segments", "n_removed", "chars_removed", F.sha2("clean_text", 256).alias("clean_sha256"))
+
+
 @query("op2_line_quality", oracle=r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,

@@ -9,6 +9,7 @@ with a loser tree, so the ranges in order are one globally ordered index.
 from __future__ import annotations
 
 import base64
+import gzip
 from collections.abc import Iterator
 
 import pandas as pd
@@ -69,7 +70,7 @@ def typed_pages(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """Writes one WARC file per task, its records sorted by URL key and time.
+    """Writes gzip-packed WARC files, one or more per task, the records sorted by URL key and time.
 
     A record is written by the text sink with the record's end as line end, so
     the files hold exactly the records, in any store Spark writes to, and a task
@@ -96,12 +97,13 @@ def write_archives(pages: DataFrame, path: str) -> None:
         t.withColumn("ts", ts).withColumn("key", url_key(F.col("url")))
         .sortWithinPartitions("key", "ts", "page_id")
         .select(head.alias("value"))
-        .write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", max(1, MAX_ARCHIVE_BYTES // (longest + HEAD_BYTES))).text(path)
+        .write.option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", max(1, MAX_ARCHIVE_BYTES // (longest + HEAD_BYTES))).text(path)
     )
 
 
 def parse_archive(name: str, content: bytes) -> Iterator[tuple]:
-    """Records of one archive in file order, by their stated lengths."""
+    """Records of one unpacked archive in file order, by their stated lengths;
+    offsets count unpacked bytes."""
     at, size = 0, len(content)
     while at < size:
         end = content.index(b"\r\n\r\n", at)
@@ -131,7 +133,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
         columns = ["archive", "offset", "length", "page_id", "url", "ts", "record_type", "refers_to", "payload_bytes", "payload_digest"]
         for b in batches:
             for name, content in zip(b["path"], b["content"]):
-                rows = pd.DataFrame(list(parse_archive(name, content)), columns=columns)
+                rows = pd.DataFrame(list(parse_archive(name, gzip.decompress(content))), columns=columns)
                 for c in ("page_id", "refers_to"):
                     rows[c] = rows[c].astype("Int64")
                 yield rows

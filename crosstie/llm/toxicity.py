@@ -28,7 +28,6 @@ ship(__name__)
 
 #: places (relative to the first letter) of four- and five-letter subsequences, and the weight of their gaps
 PATTERNS = [((1, 2, 3), 1.0), ((1, 2, 4), 0.5), ((1, 3, 4), 0.5), ((2, 3, 4), 0.5),
-            ((1, 2, 5), 0.25), ((1, 4, 5), 0.25), ((2, 3, 5), 0.25), ((2, 4, 5), 0.25), ((1, 3, 5), 0.25), ((3, 4, 5), 0.25),
             ((1, 2, 3, 4), 1.0), ((1, 2, 3, 5), 0.5), ((1, 2, 4, 5), 0.5), ((1, 3, 4, 5), 0.5), ((2, 3, 4, 5), 0.5)]
 BUCKETS = 1 << 18
 #: letters of a piece; longer pieces are cut into overlapping parts
@@ -57,7 +56,7 @@ def letters(word: str) -> str:
     """Lower-case letters of a word; look-alike signs count as letters when
     the word holds letters besides."""
     low = word.lower()
-    if low.isalpha():
+    if low.isalpha() or (low := low.strip(".,;:!?\"'()")).isalpha():
         return low
     if any(c.isalpha() for c in low):
         low = low.strip("$@").translate(LOOKALIKE) if low[-1:].isalpha() else low.rstrip(".,;:!?\"')").translate(LOOKALIKE)
@@ -96,12 +95,10 @@ def raw_pieces(text: str) -> set[str]:
 
 def subsequences(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Piece number, bucket and weight of every subsequence of the pieces."""
-    width = max(map(len, pieces), default=0) + 5
-    codes = np.zeros((len(pieces), width), np.int64)
-    for i, p in enumerate(pieces):
-        codes[i, :len(p)] = np.frombuffer(p.encode("utf-32-le"), np.uint32)
+    n = max(map(len, pieces), default=1)
+    width = n + 5
+    codes = np.array(pieces, dtype=f"<U{width}").view(np.uint32).reshape(len(pieces), width).astype(np.int64)
     rows, ids, values = [], [], []
-    n = width - 5
     for at, weight in PATTERNS:
         r, col = np.nonzero(codes[:, at[-1]:at[-1] + n])
         key = codes[r, col]
@@ -114,13 +111,10 @@ def subsequences(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.concatenate(rows), np.concatenate(ids), np.concatenate(values)
 
 
-def _norms(rows: np.ndarray, ids: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    key = rows * BUCKETS + ids
-    order = np.argsort(key, kind="stable")
-    key, v = key[order], values[order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if key.size else np.zeros(0, np.int64)
-    sums = np.add.reduceat(v, first) if first.size else np.zeros(0)
-    return np.sqrt(np.bincount(key[first] // BUCKETS, weights=sums ** 2, minlength=n))
+def _norms(pieces: list[str]) -> np.ndarray:
+    """Root of the summed squared weights, which depends on the length alone."""
+    by_length = np.array([sum(w * w * max(0, n - at[-1]) for at, w in PATTERNS) for n in range(PIECE + OVERLAP + 2)])
+    return np.sqrt(by_length[[len(p) for p in pieces]])
 
 
 def piece_values(model: Model, pieces: list[str]) -> np.ndarray:
@@ -128,7 +122,7 @@ def piece_values(model: Model, pieces: list[str]) -> np.ndarray:
     if not pieces:
         return np.zeros(0)
     rows, ids, values = subsequences(pieces)
-    norms = _norms(rows, ids, values, len(pieces))
+    norms = _norms(pieces)
     product = np.bincount(rows, weights=values * model.weights[ids], minlength=len(pieces))
     return product / np.maximum(norms, 1e-9) + model.bias
 
@@ -185,7 +179,7 @@ def _train(toxic: dict[str, float], clean: list[str]) -> tuple[np.ndarray, float
     for i in range(0, len(pieces), 2000):
         some = pieces[i:i + 2000]
         r, k, v = subsequences(some)
-        norms = _norms(r, k, v, len(some))
+        norms = _norms(some)
         at = np.searchsorted(known, k).clip(max=known.size - 1)
         hit = known[at] == k
         dense = np.zeros((len(some), known.size), np.float32)

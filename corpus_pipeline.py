@@ -1,18 +1,67 @@
-"""Pipeline over the documents: stages that each read what the one before kept."""
+"""Pipeline over the documents: stages that each read what the one before kept.
+
+Quality votes, line dedup, one document of each near-duplicate group, no
+benchmark leaks, then the mix of the sources.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from crosstie.llm import decontaminate, jaccard_join, line_dedup, mixing, quality_votes
+from crosstie.llm.common import saved, table
+
+#: near duplicates of the pipeline share this percentage of their five-word shingles
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+#: no source is read more often than this, and the mix has this share of the largest entropy where that allows it
+MAX_REPEATS, ENTROPY_SHARE = 4.0, 0.95
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality votes accept."""
+    model = quality_votes.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_votes.score(docs, model, keep=tuple(docs.columns)).where("predicted = 1").select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without chunks that another place holds first; ``n_chars``
+    follows the text.  A text that was nothing but repetition goes with its
+    document; texts that were empty before stay."""
+    return line_dedup.dedup_rows(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
 
-STAGES: list = []
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the smallest id."""
+    linked = jaccard_join.link(docs, size=NEAR_WORDS, percent=NEAR_PERCENT)
+    others = linked.where("component_id <> doc_id").select(F.col("doc_id").alias("__copy")).distinct()
+    return docs.join(others, docs["doc_id"] == others["__copy"], "left_anti")
 
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontaminate.remove_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Readings of the documents that give the sources their weights."""
+    return mixing.mix(docs, entropy_share=ENTROPY_SHARE, max_repeats=MAX_REPEATS)
+
+
+STAGES = [
+    ("quality_votes", keep_good),
+    ("line_dedup", drop_repeated_lines),
+    ("jaccard_join", one_of_each_group),
+    ("decontaminate", without_benchmark),
+    ("mixing", mix_sources),
+]
+
+#: the first stage is a trained model, which SQL cannot express; tests hold each stage against a brute-force version
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to the documents, each result being written and read again."""
-    from crosstie.llm.common import saved, table
-
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir), name)

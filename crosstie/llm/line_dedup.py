@@ -88,49 +88,69 @@ def repeated_chunks(texts: DataFrame) -> DataFrame:
     return later.groupBy("id", "th").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
-def dedup(docs: DataFrame, min_run_chars: int = MIN_RUN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents without chunks that another place holds first.
-
-    Returns one row per input row: the id, ``clean_text``, ``n_segments``,
-    ``n_removed`` (segments) and ``chars_removed``.  The first place is that
-    with the smallest id, then text hash, then position; a null id comes before
-    all others.  A null text stays null and counts no segments, an empty text
-    stays empty.  Repeated rows of one id and text count as one document and get
-    the same result.  Other columns of any name are not looked at.
-    """
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def _cleaned(docs: DataFrame, min_run_chars: int, keep: list[str], text_col: str, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """Texts with what is left of them, and the rows without a text."""
+    base = docs.select(F.struct(*keep).alias("kept"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = base.where(F.col("text") != "").withColumn("th", F.xxhash64("text"))
-    spans = repeated_chunks(texts).withColumnsRenamed({"id": "span_id", "th": "span_th"})
+    spans = repeated_chunks(texts.select("id", "th", "text")).withColumnsRenamed({"id": "span_id", "th": "span_th"})
     same = texts["id"].eqNullSafe(spans["span_id"]) & (texts["th"] == spans["span_th"])
+    span_type = "array<struct<s:int,e:int>>"
 
     def runs(sp: Column) -> Column:
         """Spans in order, touching ones merged."""
-        return F.aggregate(F.sort_array(sp), F.array().cast("array<struct<s:int,e:int>>"), lambda a, x: F.when(
-            (F.size(a) > 0) & (F.element_at(a, -1)["e"] >= x["s"]),
-            F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["s"].alias("s"), F.greatest(F.element_at(a, -1)["e"], x["e"]).alias("e"))))
-        ).otherwise(F.concat(a, F.array(x))))
 
-    def cleaned(seg: Column) -> Column:
-        def cut(rs: Column) -> Column:
-            def long_enough(r: Column) -> Column:
-                return F.length(F.array_join(F.slice(seg, r["s"] + 1, r["e"] - r["s"]), "")) >= min_run_chars
+        def step(a: Column, x: Column) -> Column:
+            last = F.element_at(a, -1)
+            longer = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))
+            return F.when((F.size(a) > 0) & (F.get(a, F.size(a) - 1)["e"] >= x["s"]),
+                          F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(a, F.array(x)))
 
-            def rebuilt(gone: Column) -> Column:
-                # what stands between the removed runs
-                stops = F.concat(F.transform(gone, lambda r: r["s"]), F.array(F.size(seg)))
-                starts = F.concat(F.array(F.lit(0)), F.transform(gone, lambda r: r["e"]))
-                kept = F.transform(F.arrays_zip(starts.alias("a"), stops.alias("b")), lambda z: F.array_join(
-                    F.slice(seg, z["a"] + 1, z["b"] - z["a"]), ""))
-                return F.struct(F.array_join(kept, "").alias("clean_text"), F.size(seg).cast("long").alias("n_segments"),
-                                F.aggregate(gone, F.lit(0), lambda a, r: a + r["e"] - r["s"]).cast("long").alias("n_removed"))
+        return F.aggregate(F.sort_array(sp), F.array().cast(span_type), step)
 
-            return let(F.filter(rs, long_enough), rebuilt)
+    def cleaned(seg: Column) -> Column:
+        def joined(s: Column, e: Column) -> Column:
+            return F.array_join(F.slice(seg, s + 1, e - s), "")
+
+        def rebuilt(gone: Column) -> Column:
+            # what stands between the removed runs
+            stops = F.concat(F.transform(gone, lambda r: r["s"]), F.array(F.size(seg)))
+            starts = F.concat(F.array(F.lit(0)), F.transform(gone, lambda r: r["e"]))
+            kept = F.transform(F.arrays_zip(starts.alias("a"), stops.alias("b")), lambda z: joined(z["a"], z["b"]))
+            return F.struct(F.array_join(kept, "").alias("clean_text"), F.size(seg).cast("long").alias("n_segments"),
+                            F.aggregate(gone, F.lit(0), lambda a, r: a + r["e"] - r["s"]).cast("long").alias("n_removed"))
+
+        found = runs(F.coalesce(F.col("spans"), F.array().cast(span_type)))
+        return let(F.filter(found, lambda r: F.length(joined(r["s"], r["e"])) >= min_run_chars), rebuilt)
+
+    done = texts.join(spans, same, "left").select("kept", "text", F.inline(F.array(let(_segments(F.col("text")), cleaned))))
+    zero = F.lit(0).cast("long")
+    rest = base.where(F.col("text").isNull() | (F.col("text") == "")).select(
+        "kept", "text", F.col("text").alias("clean_text"), zero.alias("n_segments"), zero.alias("n_removed"))
+    return done, rest
 
-        return let(runs(F.coalesce(F.col("spans"), F.array().cast("array<struct<s:int,e:int>>"))), cut)
 
-    done = texts.join(spans, same, "left").select("id", "text", F.inline(F.array(let(_segments(F.col("text")), cleaned))))
-    rest = base.where(F.col("text").isNull() | (F.col("text") == "")).select(
-        "id", "text", F.col("text").alias("clean_text"), F.lit(0).cast("long").alias("n_segments"), F.lit(0).cast("long").alias("n_removed"))
+def dedup(docs: DataFrame, min_run_chars: int = MIN_RUN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What is left of each document without chunks that another place holds first.
+
+    Returns one row per input row: the id, ``clean_text``, ``n_segments``,
+    ``n_removed`` (segments) and ``chars_removed``.  The first place is that
+    with the smallest id, then text hash, then position; a null id comes before
+    all others.  A null text stays null and counts no segments, an empty text
+    stays empty.  Repeated rows of one id and text count as one document and get
+    the same result.  Other columns of any name are not looked at.
+    """
+    done, rest = _cleaned(docs, min_run_chars, [id_col], text_col, id_col)
     return done.union(rest).select(
-        F.col("id").alias(id_col), "clean_text", "n_segments", "n_removed",
+        "kept.*", "clean_text", "n_segments", "n_removed",
         F.coalesce(F.length("text") - F.length("clean_text"), F.lit(0)).cast("long").alias("chars_removed"))
+
+
+def dedup_rows(docs: DataFrame, min_run_chars: int = MIN_RUN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows with all their columns and the cleaned text in place of the text.
+
+    A row whose whole text was repetition is left out; rows whose text was null
+    or empty before are kept as they are.
+    """
+    others = [c for c in docs.columns if c != text_col]
+    done, rest = _cleaned(docs, min_run_chars, others, text_col, id_col)
+    return done.where("clean_text <> ''").union(rest).select("kept.*", F.col("clean_text").alias(text_col)).select(*docs.columns)

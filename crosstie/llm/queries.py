@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosstie.llm import decontaminate, jaccard_join, line_dedup, line_quality, personal_data, quality_votes, token_counts, toxicity, warc_index
+from crosstie.llm import decontaminate, jaccard_join, line_dedup, line_quality, mixing, personal_data, quality_votes, token_counts, toxicity, warc_index
 from crosstie.llm.common import table
 from crosstie.session import shared_dir
 
@@ -127,6 +127,43 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), shared_dir(spark, "token-cache"))
 
 
+def _mix_oracle(share: float, block_tokens: int, steps: int) -> str:
+    """Bisection unrolled into one common table per step."""
+    halves = ", ".join(f"""b{i + 1} AS MATERIALIZED (SELECT CASE WHEN h >= goal THEN mid ELSE lo END AS lo, CASE WHEN h >= goal THEN hi ELSE mid END AS hi FROM (
+      SELECT any_value(lo) AS lo, any_value(hi) AS hi, any_value((lo + hi) / 2) AS mid, any_value(goal) AS goal, ln(sum(x)) - sum(x * ln(x)) / sum(x) AS h
+      FROM (SELECT lo, hi, goal, pow(tokens / mx, (lo + hi) / 2) AS x FROM t, b{i}, g)))""" for i in range(steps))
+    key = "md5(concat_ws('|', 'mix', {}))"
+    return f"""
+WITH d AS MATERIALIZED (SELECT * FROM (SELECT doc_id AS id, source AS src, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tok
+    FROM documents) WHERE tok > 0),
+t AS MATERIALIZED (SELECT src, sum(tok)::BIGINT AS tokens FROM d GROUP BY src),
+g AS MATERIALIZED (SELECT max(tokens)::DOUBLE AS mx, sum(tokens)::DOUBLE AS budget, {share} * ln(count(*)) AS goal FROM t),
+b0 AS MATERIALIZED (SELECT 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi), {halves},
+o AS (SELECT ln(sum(x)) - sum(x * ln(x)) / sum(x) AS h FROM (SELECT tokens / mx AS x FROM t, g)),
+e AS MATERIALIZED (SELECT CASE WHEN h >= goal THEN 1.0 ELSE lo END AS e FROM b{steps}, o, g),
+z AS MATERIALIZED (SELECT sum(pow(tokens / mx, e)) AS z FROM t, g, e),
+p AS (SELECT src, tokens, ceil(tokens / {block_tokens})::BIGINT AS n_blocks, floor(pow(tokens / mx, e) / z * budget + 1e-6)::BIGINT AS bud FROM t, g, e, z),
+r AS MATERIALIZED (SELECT id, d.src, tok, bud // tokens AS full_, bud % tokens AS rest,
+    ('0x' || substr({key.format("coalesce(id::VARCHAR, '')")}, 1, 12))::BIGINT % n_blocks AS block FROM d JOIN p ON d.src IS NOT DISTINCT FROM p.src),
+s AS (SELECT src, block, full_, rest, sum(tok)::BIGINT AS size FROM r GROUP BY ALL),
+x AS (SELECT *, {key.format("coalesce(src, ''), epoch::VARCHAR, block::VARCHAR")} AS k FROM (SELECT *, unnest(range(0, full_ + 1)) AS epoch FROM s)),
+w AS (SELECT src, block, epoch, size, row_number() OVER v AS block_place,
+    CASE WHEN epoch < full_ THEN size ELSE rest - sum(size) OVER v + size END AS room
+  FROM x WINDOW v AS (PARTITION BY src, epoch ORDER BY k, block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+a AS (SELECT id, r.src, tok, epoch, r.block, block_place, room, size,
+    sum(tok) OVER (PARTITION BY r.src, epoch, r.block ORDER BY {key.format("coalesce(r.src, ''), epoch::VARCHAR, coalesce(id::VARCHAR, '')")}, id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM r JOIN w ON w.src IS NOT DISTINCT FROM r.src AND w.block = r.block AND room > 0)
+SELECT id AS doc_id, src AS source, tok AS n_tokens, epoch, block, block_place FROM a WHERE room >= size OR upto <= room
+"""
+
+
+@query("op7_mixing", oracle=_mix_oracle(0.95, mixing.BLOCK_TOKENS, mixing.STEPS))
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of all documents so that the sources' entropy is 0.95 of the largest."""
+    return mixing.mix(table(spark, sf_dir, "documents"), entropy_share=0.95)
+
+
 @query("op8_decontaminate", oracle=r"""
 WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
 iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),

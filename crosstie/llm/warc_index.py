@@ -94,7 +94,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
         F.when(revisit, "").otherwise(F.col("payload")),
     )
     (
-        t.withColumn("ts", ts).withColumn("key", url_key(F.col("url")))
+        t.withColumn("ts", ts).withColumn("key", url_key(_one_line(F.col("url"))))
         .sortWithinPartitions("key", "ts", "page_id")
         .select(head.alias("value"))
         .write.option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", max(1, MAX_ARCHIVE_BYTES // (longest + HEAD_BYTES))).text(path)

@@ -29,7 +29,7 @@ def query(name: str, oracle: str | None = None):
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What chunk dedup leaves of every document."""
     return line_dedup.dedup(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_segments", "n_removed", "chars_removed", F.sha2("clean_text", 256).alias("clean_sha256"))
+        "doc_id", "n_removed", "chars_removed", F.sha2("clean_text", 256).alias("clean_sha256"))
 
 
 @query("op2_line_quality", oracle=r"""

@@ -193,7 +193,7 @@ def year_token(x: Column | str) -> Column:
         | (F.startswith(t, F.lit("20")) & (F.length(t) == 4)),
     )
     first = F.get(hit, F.lit(0))
-    return F.when(F.startswith(first, F.lit("FY")), F.substring(first, 3, 100)).otherwise(first)
+    return F.when(F.startswith(first, F.lit("FY")), F.substring(first, F.lit(3), F.length(first))).otherwise(first)
 
 
 def basket_label(code: Column | str) -> Column:

@@ -77,7 +77,10 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.85, ra
     ``left`` and ``right`` hold (return_id, name).  Candidates meet on shared
     character runs within a position band and a length band; both are implied by
     the threshold, so nothing above it is lost and no group is paired in full.
+    The runs are long enough for thresholds from 0.85 on; lower ones are refused.
     """
+    if threshold < 0.85:
+        raise ValueError(f"the shared runs only cover thresholds from 0.85 on, not {threshold}")
     slack, width = 1.0 - threshold, 8
     reach = 2.0 * slack / (1.0 + slack) + slack  # widest position shift per character of the left name
 

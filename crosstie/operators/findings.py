@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosstie import dims as D
@@ -19,7 +19,9 @@ def ranked(findings: DataFrame) -> DataFrame:
 
 
 def head(findings: DataFrame, n: int) -> DataFrame:
-    return ranked(findings).limit(n)
+    """The first n findings of every return."""
+    w = Window.partitionBy("return_id").orderBy(F.expr(RANK), "check_id", "entity_code", "sub_key")
+    return findings.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 
 def filter_findings(findings: DataFrame, severity: list[str] = (), category: list[str] = (),

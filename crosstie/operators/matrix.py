@@ -91,18 +91,17 @@ def build_matrix(facts: DataFrame, matrix: Matrix, cy: int, py: int | None = Non
     rows = scan.join(F.broadcast(dim), ["tax_year", "form", "path"]).select(
         *KEYS, "cell",
         safe_float("value").alias("num"),
-        (F.col("sub_no").cast("bigint") * 100_000 + F.col("instance")).alias("row_no"),
     )
     aggs, out = [], list(KEYS)
     for i, (side, form, tag), name in cells:
         mark = f"{side}_{form}"
         if tag:
             aggs.append(f"max(CASE WHEN cell = {i} THEN num END) AS {name}")
-            out.append(f"CASE WHEN lo_{mark} = hi_{mark} THEN {name} END AS {name}")
+            out.append(f"CASE WHEN n_{mark} = 1 THEN {name} END AS {name}")
         else:
-            aggs.append(f"min(CASE WHEN cell = {i} THEN row_no END) AS lo_{name}")
-            aggs.append(f"max(CASE WHEN cell = {i} THEN row_no END) AS hi_{name}")
-            out.append(f"lo_{name} IS NOT NULL AS {name}")
+            # one marker row per filed form: a form filed twice reads as ambiguous
+            aggs.append(f"count_if(cell = {i}) AS n_{name}")
+            out.append(f"n_{name} > 0 AS {name}")
     wide = rows.groupBy(*KEYS).agg(*map(F.expr, aggs)).selectExpr(*out)
     if matrix.flags:
         wide = salted_lookup(wide, return_flags(facts, matrix, cy, py), ["return_id"], "entity_code")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosstie import dims as D
@@ -138,13 +138,14 @@ def coverage_count(lines: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def top_ep(facts: DataFrame, cy: int, n: int = 10) -> DataFrame:
-    """The n entities with the largest E&P by size, shown with the sign turned."""
+    """The n entities of each return with the largest E&P by size, shown with the sign turned."""
     ep, ni = (f"{D.SCH_H}_{t}" for t in ("CurrEarnAndPrftInUSDollarsAmt", "ForeignCYNetIncomePerBooksAmt"))
     h = extract_form(facts.where(F.col("tax_year") == cy), D.SCH_H, [ep, ni])
     num = to_numeric(ep)
+    w = Window.partitionBy("return_id").orderBy(F.abs("ep_usd").desc_nulls_last(), "entity_code")
     return (
         h.select("return_id", "entity_name", "entity_code", (-num).alias("ep_usd"), (-to_numeric(ni)).alias("net_income"))
-        .orderBy(F.abs("ep_usd").desc_nulls_last(), "return_id", "entity_code").limit(n)
+        .withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).drop("place")
     )
 
 

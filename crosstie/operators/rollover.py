@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from crosstie import dims as D
 from crosstie.functions.scalar import DASH, safe_float
+from crosstie.operators.pools import number
 from crosstie.operators.reshape import value_map
 from crosstie.operators.rules import lit
 from crosstie.schema import ITEM_COLUMNS
@@ -157,7 +158,7 @@ def schf_footing(facts: DataFrame, year: int) -> DataFrame:
     rows = entity_rows(facts, year, {D.SCH_F: list(ends.values())}, "first")
 
     def num(concept: str) -> str:
-        return f"coalesce(try_cast(m['{D.SCH_F}_{ends[concept]}'] AS DOUBLE), 0D)"
+        return f"coalesce({number(f'''m['{D.SCH_F}_{ends[concept]}']''')}, 0D)"
 
     order = [c for c, _, _ in D.BALANCE_PAIRS]
     checks = [

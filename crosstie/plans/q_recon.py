@@ -91,10 +91,9 @@ def _recon_summary(spark, sf_dir):
     return RC.recon_summary(_results(spark, sf_dir))
 
 
-@query("topk_failures", "SELECT return_id, entity_code, schedule, field_name, status FROM recon WHERE status = 'FAIL' ORDER BY schedule, return_id, entity_code, field_name LIMIT 15", ctes=_RECON)
+@query("topk_failures", "SELECT return_id, entity_code, schedule, field_name, status FROM recon WHERE status = 'FAIL' QUALIFY row_number() OVER (PARTITION BY return_id ORDER BY schedule, entity_code, field_name) <= 15", ctes=_RECON)
 def _topk_failures(spark, sf_dir):
-    keys = ["schedule", "return_id", "entity_code", "field_name"]
-    return _results(spark, sf_dir).where("status = 'FAIL'").orderBy(*keys).limit(15).select(*keys, "status")
+    return RC.top_failures(_results(spark, sf_dir), 15).select("schedule", "return_id", "entity_code", "field_name", "status")
 
 
 @query("reconcile_wb_missing", "SELECT c.seg AS return_id, s.schedule, c.code AS entity_code, 'WB_MISSING' AS status FROM cust c, (VALUES "
@@ -318,7 +317,7 @@ def _sink_recon(spark, sf_dir):
     return spark.read.parquet(f"{path}/summary")
 
 
-@query("sink_forms", "SELECT replace(replace(form, 'IRS5471', '5471'), 'Schedule', 'Sch') AS form, count(*) AS n, count(DISTINCT code) AS entities FROM facts"
+@query("sink_forms", "SELECT form, count(*) AS n, count(DISTINCT code) AS entities FROM facts"
        " WHERE path <> form AND side = 'c' AND contains(code, '01') GROUP BY 1", facts=[])
 def _sink_forms(spark, sf_dir):
     path = shared_dir(spark, "forms")
@@ -355,4 +354,4 @@ def _stream(spark, sf_dir):
     schema = I.document_schema(spark, sf_dir)
     run = stream_single_year(spark, path, schema, CY, out, f"{out}-state")
     run.awaitTermination()
-    return QU.short(spark.read.parquet(out))
+    return QU.short(spark.read.parquet(f"{out}/findings"))

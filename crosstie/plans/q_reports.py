@@ -67,9 +67,9 @@ def _compare_summary(spark, sf_dir):
     return CP.compare_summary(_table(spark, sf_dir))
 
 
-@query("topk_material", "SELECT * FROM ch WHERE material ORDER BY return_id, entity_name, field LIMIT 50", facts=_CMP_FORMS, ctes=_CMP)
+@query("topk_material", "SELECT * FROM ch WHERE material QUALIFY row_number() OVER (PARTITION BY return_id ORDER BY entity_name, field) <= 50", facts=_CMP_FORMS, ctes=_CMP)
 def _topk_material(spark, sf_dir):
-    return CP.compare_returns(_facts(spark, sf_dir), PY, CY).where("material").orderBy("return_id", "entity_name", "field").limit(50)
+    return CP.top_material(CP.compare_returns(_facts(spark, sf_dir), PY, CY), 50)
 
 
 _H_DIM = "(VALUES " + ", ".join(f"('{D.SCH_H}_{f.name}', '{f.line}', '{f.description}', '{f.type}', '{f.sign or ''}')" for f in D.fields_of(D.SCH_H)) \
@@ -88,7 +88,7 @@ _SGN = "(numeric_diff * CASE WHEN sign <> '' THEN -1 ELSE 1 END)"
 @query("compare_display", f"SELECT return_id, left(entity_name, 25) AS entity, c.field, COALESCE(line, '?') AS line, left(COALESCE(description, replace(c.field, '{D.SCH_H}_', '')), 30)"
        f" AS description, {_shown('old_value')} AS prior, {_shown('new_value')} AS \"current\", (CASE WHEN {_SGN} >= 0 THEN '+' ELSE '' END) || CASE WHEN abs({_SGN}) >= 1000000 THEN"
        f" format('{{:,.2f}}', {_SGN} / 1000000) || 'M' ELSE format('{{:,.1f}}', {_SGN} / 1000) || 'K' END AS change FROM (SELECT * FROM ch WHERE material"
-       f" ORDER BY return_id, entity_name, field LIMIT 50) c LEFT JOIN {_H_DIM} ON d.field = c.field", facts=[D.SCH_H], ctes=_CMP)
+       f" QUALIFY row_number() OVER (PARTITION BY return_id ORDER BY entity_name, field) <= 50) c LEFT JOIN {_H_DIM} ON d.field = c.field", facts=[D.SCH_H], ctes=_CMP)
 def _display(spark, sf_dir):
     changes = CP.compare_returns(_facts(spark, sf_dir), PY, CY, forms=(D.SCH_H,))
     return CP.compare_display(changes, FV.field_dim(spark))
@@ -328,10 +328,10 @@ def _diff_analysis(spark, sf_dir):
     return _diffs(spark, sf_dir)
 
 
-@query("sort_abs_diff", "SELECT return_id, entity_code, basket, pool_grp, diff FROM diffs ORDER BY abs(diff) DESC, return_id, entity_code, basket, pool_grp LIMIT 100", ctes=_DIFFS)
+@query("sort_abs_diff", "SELECT return_id, entity_code, basket, pool_grp, diff FROM diffs ORDER BY abs(diff) DESC, return_id, entity_code, basket, pool_grp", ctes=_DIFFS)
 def _sort_abs(spark, sf_dir):
     order = [F.abs("diff").desc(), "return_id", "entity_code", "basket", "pool_grp"]
-    return _diffs(spark, sf_dir).select("return_id", "entity_code", "basket", "pool_grp", "diff").orderBy(*order).limit(100)
+    return _diffs(spark, sf_dir).select("return_id", "entity_code", "basket", "pool_grp", "diff").orderBy(*order)
 
 
 @query("diff_by_category", "SELECT diff_class, count(*) AS entries, count(DISTINCT return_id || entity_code) AS entities, CAST(sum(diff) AS DOUBLE) AS total_diff FROM diffs GROUP BY 1", ctes=_DIFFS)

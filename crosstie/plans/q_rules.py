@@ -208,20 +208,14 @@ def _review_full(spark, sf_dir):
 _RANK = "CASE severity WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END"
 
 
-@query("ranked_findings", f"SELECT row_number() OVER (ORDER BY {_RANK}, check_id, return_id, entity_code, sub_key) AS place,"
-       " check_id, severity, entity_code, sub_key, return_id FROM cat QUALIFY place <= 500", ctes=FOUND)
+@query("ranked_findings", f"SELECT check_id, severity, entity_code, sub_key, return_id FROM cat ORDER BY {_RANK}, check_id, return_id, entity_code,"
+       " sub_key", ctes=FOUND)
 def _ranked(spark, sf_dir):
-    # the place is only numbered on the top rows shown, never on the whole set
-    top = FI.head(full(spark, sf_dir), 500)
-    from pyspark.sql import Window
+    return FI.ranked(full(spark, sf_dir)).select("check_id", "severity", "entity_code", "sub_key", "return_id")
 
-    w = Window.orderBy(F.expr(FI.RANK), "check_id", "return_id", "entity_code", "sub_key")
-    return top.withColumn("place", F.row_number().over(w)).select(
-        F.col("place").cast("bigint").alias("place"), "check_id", "severity", "entity_code", "sub_key", "return_id")
 
-
-@query("head_findings", f"SELECT return_id, check_id, severity, entity_code, sub_key FROM cat ORDER BY {_RANK}, check_id,"
-       " return_id, entity_code, sub_key LIMIT 30", ctes=FOUND)
+@query("head_findings", "SELECT return_id, check_id, severity, entity_code, sub_key FROM cat QUALIFY row_number() OVER (PARTITION BY return_id"
+       f" ORDER BY {_RANK}, check_id, entity_code, sub_key) <= 30", ctes=FOUND)
 def _head(spark, sf_dir):
     return FI.head(full(spark, sf_dir), 30).select("return_id", "check_id", "severity", "entity_code", "sub_key")
 
@@ -247,13 +241,7 @@ def _distinct(spark, sf_dir):
 @query("findings_union", "SELECT category, count(*) AS findings, count(DISTINCT entity_code) AS entities FROM cat GROUP BY category",
        ctes=FOUND)
 def _union(spark, sf_dir):
-    f = X.facts(spark, sf_dir)
-    parts = [R.run_rules(f, [i for i in RULES if RULES[i].category == c], CY, PY, names=False)
-             for c in ("flow", "completeness", "reasonableness", "rollover")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("category").agg(F.expr("count(*) AS findings"), F.expr("count(DISTINCT entity_code) AS entities"))
+    return full(spark, sf_dir).groupBy("category").agg(F.expr("count(*) AS findings"), F.expr("count(DISTINCT entity_code) AS entities"))
 
 
 _COUNTS = "SELECT seg AS return_id, count(*) AS entity_count FROM cust WHERE n_c > 0 GROUP BY seg"

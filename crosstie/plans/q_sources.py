@@ -401,7 +401,7 @@ def _dim_join(spark, sf_dir):
 
 
 @query("topk_ep", "SELECT seg AS return_id, name_c AS entity_name, code AS entity_code, CAST(-usd_c AS DOUBLE) AS ep_usd, CAST(-ni_c AS DOUBLE) AS net_income"
-       " FROM cust WHERE n_c > 0 AND k % 31 <> 0 ORDER BY abs(usd_c) DESC, seg, code LIMIT 10")
+       " FROM cust WHERE n_c > 0 AND k % 31 <> 0 QUALIFY row_number() OVER (PARTITION BY seg ORDER BY abs(usd_c) DESC NULLS LAST, code) <= 10")
 def _topk_ep(spark, sf_dir):
     return RS.top_ep(X.facts(spark, sf_dir, CY), CY)
 

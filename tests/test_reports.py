@@ -58,3 +58,28 @@ def test_reconcile_statuses(spark, make_facts):
         ("C1", tags[3]): ("FAIL", 2.0, "3"), ("C2", tags[0]): ("DORMANT_OK", None, "2c"), ("C2", tags[3]): ("FAIL", 3.0, "3"), ("C9", tags[0]): ("XML_MISSING", None, "2c")}
     again = make_facts([(CY, 1, "C1", "A", {D.SCH_H: {tags[0]: "10"}}), (CY, 2, "C1", "A2", {D.SCH_H: {tags[0]: "99"}})])
     assert [r.status for r in RC.reconcile(rows.where("entity_code = 'C1' AND field = 'DepletionAmt'"), again, CY).collect()] == ["PASS"]
+
+
+def test_entities_of_one_name_do_not_mix(make_facts):
+    """The first entity of a name stands for it; a second one's change is not its."""
+    from crosstie import dims as D
+    from crosstie.operators import compare as CP
+
+    ep = "CurrEarnAndPrftInUSDollarsAmt"
+    facts = make_facts([
+        (1996, 1, "C1", "Acme", {D.SCH_H: {ep: "5"}}), (1996, 2, "C2", "Acme", {D.SCH_H: {ep: "7", "ForeignCYNetIncomePerBooksAmt": "1"}}),
+        (1997, 3, "C1", "Acme", {D.SCH_H: {ep: "5"}}), (1997, 4, "C2", "Acme", {D.SCH_H: {ep: "9000", "ForeignCYNetIncomePerBooksAmt": "8000"}}),
+    ])
+    assert CP.compare_returns(facts, 1996, 1997, forms=(D.SCH_H,)).count() == 0
+
+
+def test_lists_are_cut_within_each_return(make_facts):
+    from crosstie import dims as D
+    from crosstie.operators import reshape as RS
+
+    ep = "CurrEarnAndPrftInUSDollarsAmt"
+    facts = None
+    for r in ("R1", "R2"):
+        part = make_facts([(1997, i, f"C{i}", f"N{i}", {D.SCH_H: {ep: str(i)}}) for i in range(5)], return_id=r)
+        facts = part if facts is None else facts.union(part)
+    assert {r.return_id: r["count"] for r in RS.top_ep(facts, 1997, 3).groupBy("return_id").count().collect()} == {"R1": 3, "R2": 3}

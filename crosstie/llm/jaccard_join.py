@@ -8,8 +8,9 @@ and fit in size are paired, then expanded to their classes and verified.
 
 Only components are wanted, so pairs that are already connected are skipped:
 members are first verified against the leader of their group and of each index
-entry, which is linear; the exhaustive pairing is left for what those links do
-not connect.
+entry, which is linear.  Documents near one leader are compared by what sets
+them apart from it, again by prefixes.  The exhaustive pairing is left for
+documents of different leaders that those links do not connect.
 """
 
 from __future__ import annotations
@@ -143,8 +144,9 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     return comp
 
 
-def _verified(pairs: DataFrame, heads: DataFrame, texts: DataFrame, size: int, percent: int, label: str) -> DataFrame:
+def _verified(pairs: DataFrame, heads: DataFrame, texts: DataFrame, size: int, percent: int, label: str) -> tuple[DataFrame, ...]:
     """Pairs (a, b) whose sets are similar: heads first, then the whole sets.
+    Also the pairs whose heads agree, and the sets of their documents.
 
     The set whose head ends first has its whole head below that end, and lacks
     at most its spare elements, so the heads must share the rest.
@@ -161,7 +163,57 @@ def _verified(pairs: DataFrame, heads: DataFrame, texts: DataFrame, size: int, p
     y = full.select(F.col("id").alias("b"), F.col("hashes").alias("xb"))
     both = F.size(F.array_intersect("xa", "xb"))
     union = F.size("xa") + F.size("xb") - both
-    return saved(near.join(x, "a").join(y, "b").where(both * 100 >= union * percent).select("a", "b"), f"{label}-links")
+    links = saved(near.join(x, "a").join(y, "b").where(both * 100 >= union * percent).select("a", "b"), f"{label}-links")
+    return links, near, full
+
+
+def _pivoted(near: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Documents by a pivot near them: id, pivot, q and d.
+
+    ``d`` is the symmetric difference from the pivot's set.  Two sets of one
+    pivot differ by |da| + |db| - 2 |da & db|, so with t the threshold in
+    percent they are similar if q(a) + q(b) + 2 (100 + t) |da & db| >= 0, where
+    q = (100 - t) |set| - (100 + t) |d|.
+    """
+    pivot = near.groupBy("b").agg(F.min("a").alias("a"))
+    alone = pivot.select("a").distinct().join(pivot.select(F.col("b").alias("a")), "a", "left_anti")
+    pivot = pivot.union(alone.select("a", "a"))
+    x = full.select(F.col("id").alias("a"), F.col("hashes").alias("xa")).dropDuplicates(["a"])
+    y = full.select(F.col("id").alias("b"), F.col("hashes").alias("xb")).dropDuplicates(["b"])
+    d = F.concat(F.array_except("xb", "xa"), F.array_except("xa", "xb"))
+    out = pivot.join(x, "a").join(y, "b").select(F.col("b").alias("id"), F.col("a").alias("pivot"), F.size("xb").alias("n"), d.alias("d"))
+    return out.select("id", "pivot", ((100 - percent) * F.col("n") - (100 + percent) * F.size("d")).alias("q"), "d")
+
+
+def _within_pivots(by_pivot: DataFrame, comps: DataFrame, percent: int, label: str) -> DataFrame:
+    """Links (a, b) between documents of one pivot and different components.
+
+    A pair with q(a) + q(b) >= 0 is linked through the document of the largest
+    q; every other pair must share a number of differences that follows from its
+    q's.  So the differences are joined by their own prefixes, rarest first,
+    whose length depends on the band of the partner's q.
+    """
+    unit = 100 + percent
+    band = F.floor(F.col("q") / unit).cast("int")
+    rows = by_pivot.join(comps, "id", "left").select("id", "pivot", "q", "d", F.coalesce("comp", "id").alias("comp"))
+    mixed = rows.groupBy("pivot").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.collect_set(band).alias("bands")).where("lo <> hi")
+    rows = saved(rows.join(mixed.select("pivot", "bands"), "pivot"), f"{label}-pivot-rows")
+    each = rows.select("pivot", "id", F.explode("d").alias("h"))
+    held = each.groupBy("pivot", "h").agg(F.count(F.lit(1)).alias("k")).where("k > 1")  # a difference of one document joins nothing
+    ranked = each.join(held, ["pivot", "h"]).groupBy("pivot", "id").agg(F.sort_array(F.collect_list(F.struct("k", "h"))).alias("r"))
+    partner = rows.select("id", "pivot", "q", "comp", F.size("d").alias("m"), band.alias("own"), F.explode("bands").alias("other"))
+    least = F.greatest(F.lit(1), F.ceil(-(F.col("q") + unit * (F.col("other") + 1) - 1) / (2 * unit)).cast("int"))
+    # differences of one document come first in the order and are passed over
+    length = F.col("m") - least + 1 - (F.col("m") - F.size("r"))
+    entries = partner.join(ranked, ["pivot", "id"]).where((least <= F.col("m")) & (length > 0)).select(
+        "pivot", "id", "comp", "own", "other", F.explode(F.slice("r", 1, length)).alias("r")).select("pivot", "id", "comp", "own", "other", "r.h")
+    entries = saved(entries, f"{label}-pivot-entries")
+    two = entries.select("pivot", "h", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("own").alias("other"), F.col("other").alias("own"))
+    pairs = saved(entries.withColumnsRenamed({"id": "a", "comp": "ca"}).join(two, ["pivot", "h", "own", "other"])
+                  .where("ca < cb").select("a", "b").distinct(), f"{label}-pivot-pairs")
+    x, y = (by_pivot.select(F.col("id").alias(k), F.col("q").alias(f"q{k}"), F.col("d").alias(f"d{k}")) for k in ("a", "b"))
+    return pairs.join(x, "a").join(y, "b").where(
+        F.col("qa") + F.col("qb") + 2 * unit * F.size(F.array_intersect("da", "db")) >= 0).select("a", "b")
 
 
 def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, common: int = COMMON, id_col: str = "doc_id",
@@ -202,28 +254,41 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, common: i
     grouped = saved(taken.join(groups, ["n", "p"]).select("id", "group_id"), "prefix-members")
     groups = saved(groups, "prefix-groups")
 
-    # leaders: of the group, and of the groups with one hash and about one size
+    # leaders: of the group, and of the groups with one hash and about one size (in either of two shifted bands)
     index = groups.select("group_id", "n", F.explode("p").alias("h"))
-    band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)))
-    leader = index.groupBy("h", band.alias("band")).agg(F.min("group_id").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    stars = index.withColumn("band", band).join(leader, ["h", "band"]).where("group_id <> a").select("a", F.col("group_id").alias("b"))
+    steps = F.log(F.col("n")) / F.log(F.lit(100 / percent))
+    banded = index.withColumn("band", F.explode(F.array(2 * F.floor(steps), 2 * F.floor(steps + 0.5) + 1)))
+    leader = banded.groupBy("h", "band").agg(F.min("group_id").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    stars = banded.join(leader, ["h", "band"]).where("group_id <> a").select("a", F.col("group_id").alias("b"))
     own = grouped.where("id <> group_id").select(F.col("group_id").alias("a"), F.col("id").alias("b"))
-    links = _verified(stars.union(own).distinct(), reps, texts, size, percent, "star")
-    first = components(links, "star")
-
-    # what is not connected yet: members of groups that share a hash, by component
-    placed = saved(grouped.join(first, "id", "left").select("id", "group_id", F.coalesce("comp", "id").alias("comp")), "placed")
-    parts = placed.select("group_id", "comp").distinct()
+    links, near, full = _verified(stars.union(own).distinct(), reps, texts, size, percent, "star")
+    by_pivot = saved(_pivoted(near, full, percent), "pivots")
+    top = by_pivot.groupBy("pivot").agg(F.max(F.struct("q", "id")).alias("t")).select("pivot", F.col("t.id").alias("a"), F.col("t.q").alias("qa"))
+    links = links.union(by_pivot.join(top, "pivot").where("q + qa >= 0 AND id <> a").select("a", F.col("id").alias("b")))
+    zeroth = components(links, "star")
+    inner = saved(_within_pivots(by_pivot, zeroth, percent, "star"), "inner-links")
+    first = components(links.union(inner), "inner")
+
+    # what is not connected yet: members of groups that share a hash, by component; pairs of one pivot are settled
+    named_pivot = by_pivot.select("id", "pivot")
+    placed = grouped.join(first, "id", "left").join(named_pivot, "id", "left")
+    placed = saved(placed.select("id", "group_id", F.coalesce("comp", "id").alias("comp"), F.coalesce("pivot", "id").alias("pivot")), "placed")
+    parts = placed.select("group_id", "comp", "pivot").distinct()
     spread = index.join(parts, "group_id")
-    mixed = spread.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
-    open_ = saved(spread.join(mixed, "h"), "open-entries")
-    one = open_.select("h", F.col("group_id").alias("ga"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-    two = open_.select("h", F.col("group_id").alias("gb"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-    pairs = one.join(two, "h").where((F.col("ca") < F.col("cb")) & _fits(F.col("na"), F.col("nb"), percent)).select("ga", "ca", "gb", "cb").distinct()
-    pairs = saved(pairs, "group-pairs")
-    a = placed.select(F.col("group_id").alias("ga"), F.col("comp").alias("ca"), F.col("id").alias("a"))
-    b = placed.select(F.col("group_id").alias("gb"), F.col("comp").alias("cb"), F.col("id").alias("b"))
-    rest = _verified(pairs.join(a, ["ga", "ca"]).join(b, ["gb", "cb"]).select("a", "b"), reps, texts, size, percent, "rest")
+    mixed = spread.groupBy("h").agg(*(f("comp") for f in (F.min, F.max)), *(f("pivot") for f in (F.min, F.max))).toDF("h", "c1", "c2", "p1", "p2")
+    open_ = saved(spread.join(mixed.where("c1 <> c2 AND p1 <> p2").select("h"), "h"), "open-entries")
+
+    def side(k: str) -> DataFrame:
+        return open_.select("h", F.col("group_id").alias(f"g{k}"), F.col("comp").alias(f"c{k}"), F.col("pivot").alias(f"p{k}"), F.col("n").alias(f"n{k}"))
+
+    def of_side(k: str) -> DataFrame:
+        return placed.select(F.col("group_id").alias(f"g{k}"), F.col("comp").alias(f"c{k}"), F.col("pivot").alias(f"p{k}"), F.col("id").alias(k))
+
+    pairs = side("a").join(side("b"), "h").where(
+        (F.col("ca") < F.col("cb")) & (F.col("pa") != F.col("pb")) & _fits(F.col("na"), F.col("nb"), percent))
+    pairs = saved(pairs.select("ga", "ca", "pa", "gb", "cb", "pb").distinct(), "group-pairs")
+    expanded = pairs.join(of_side("a"), ["ga", "ca", "pa"]).join(of_side("b"), ["gb", "cb", "pb"]).select("a", "b")
+    rest, *_ = _verified(expanded, reps, texts, size, percent, "rest")
     of = placed.select("id", "comp").distinct()
     joined = rest.join(of.withColumnsRenamed({"id": "a", "comp": "x"}), "a").join(of.withColumnsRenamed({"id": "b", "comp": "y"}), "b")
     # an id with several texts joins their classes

@@ -32,10 +32,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the smallest id."""
-    linked = jaccard_join.link(docs, size=NEAR_WORDS, percent=NEAR_PERCENT)
+    """One document of each group of near duplicates: the smallest id.  Of rows
+    that repeat that id one stays; rows without an id all stay."""
+    linked = saved(jaccard_join.link(docs, size=NEAR_WORDS, percent=NEAR_PERCENT), "near-links")
     others = linked.where("component_id <> doc_id").select(F.col("doc_id").alias("__copy")).distinct()
-    return docs.join(others, docs["doc_id"] == others["__copy"], "left_anti")
+    kept = docs.join(others, docs["doc_id"] == others["__copy"], "left_anti")
+    twice = linked.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice"))
+    twice = saved(twice, "repeated-ids")
+    if twice.isEmpty():
+        return kept
+    same = kept["doc_id"] == twice["__twice"]
+    return kept.join(twice, same, "left_anti").union(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -240,16 +240,22 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, common: i
     reps = linked.join(classes.withColumnRenamed("class_id", "id"), ["id", "n", "sig"], "left_semi").select("id", "n", "sig", "head").distinct()
     reps = saved(reps, "shingle-reps")
 
-    # index prefix: rare hashes first; similar sets share more of their heads than the rest leaves out
-    entries = reps.select("id", "n", "sig", F.explode("head").alias("h"))
-    often = saved(entries.groupBy("h").count().where(F.col("count") > common).select("h", F.lit(1).alias("often")), "common-hashes")
+    # Index prefix.  In the order of all hashes come first those of one class, then those of a few, then the common
+    # ones.  The first can join nothing, so they only use up places of a prefix and are never dealt again.
+    key = ["id", "s"]  # an id may stand for several sets
+    reps = reps.withColumn("s", F.xxhash64("sig"))
+    entries = reps.select(*key, F.explode("head").alias("h"))
+    held = entries.groupBy("h").count().where("count > 1").select("h", (F.col("count") > common).alias("often"))
+    held = saved(held, "shared-hashes")
+    joint = entries.join(small(held, held.count()), "h").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("often", "h"))).alias("all"))
+    # similar sets share more of their heads than the places behind the prefix
     spare_n = _spare(F.col("n"), percent)
     smallest = F.ceil(F.col("n") * percent / 100).cast("int")  # of a similar set
-    head_size = spare_n + F.floor(spare_n / 2).cast("int") + 1
     shared = F.least(F.floor(spare_n / 2).cast("int"), F.floor(_spare(smallest, percent) / 2).cast("int")) + 1
-    ordered = F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("o"), F.col("h"))))
-    taken = entries.join(small(often, often.count()), "h", "left").groupBy("id", "n", "sig").agg(ordered.alias("all"))
-    taken = taken.select("id", "n", F.transform(F.slice("all", 1, head_size - shared + 1), lambda x: x["h"]).alias("p"))
+    places = F.size("all") - shared + 1  # of the prefix's |head| - shared + 1, those not used up
+    taken = reps.select(*key, "n").join(joint, key).where(places > 0).select(
+        "id", "n", F.transform(F.slice("all", 1, F.greatest(places, F.lit(1))), lambda x: x["h"]).alias("p"))
+    taken = saved(taken, "prefixes")
     groups = taken.groupBy("n", "p").agg(F.min("id").alias("group_id"))
     grouped = saved(taken.join(groups, ["n", "p"]).select("id", "group_id"), "prefix-members")
     groups = saved(groups, "prefix-groups")
@@ -271,7 +277,7 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, common: i
 
     # what is not connected yet: members of groups that share a hash, by component; pairs of one pivot are settled
     named_pivot = by_pivot.select("id", "pivot")
-    placed = grouped.join(first, "id", "left").join(named_pivot, "id", "left")
+    placed = grouped.distinct().join(first, "id", "left").join(named_pivot, "id", "left")
     placed = saved(placed.select("id", "group_id", F.coalesce("comp", "id").alias("comp"), F.coalesce("pivot", "id").alias("pivot")), "placed")
     parts = placed.select("group_id", "comp", "pivot").distinct()
     spread = index.join(parts, "group_id")
@@ -289,7 +295,9 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, common: i
     pairs = saved(pairs.select("ga", "ca", "pa", "gb", "cb", "pb").distinct(), "group-pairs")
     expanded = pairs.join(of_side("a"), ["ga", "ca", "pa"]).join(of_side("b"), ["gb", "cb", "pb"]).select("a", "b")
     rest, *_ = _verified(expanded, reps, texts, size, percent, "rest")
-    of = placed.select("id", "comp").distinct()
+    # classes without a prefix are linked with nothing
+    of = classes.select(F.col("class_id").alias("id")).distinct().join(placed.select("id", F.col("comp").alias("c")).distinct(), "id", "left").select(
+        "id", F.coalesce("c", "id").alias("comp"))
     joined = rest.join(of.withColumnsRenamed({"id": "a", "comp": "x"}), "a").join(of.withColumnsRenamed({"id": "b", "comp": "y"}), "b")
     # an id with several texts joins their classes
     ids = members.join(of.withColumnRenamed("id", "class_id"), "class_id").groupBy("id").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))

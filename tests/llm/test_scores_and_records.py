@@ -331,6 +331,15 @@ def test_stages_keep_the_columns_and_take_effect(spark, make_docs, tmp_path):
     assert P.run(spark, d).count() > 0
 
 
+def test_one_row_stays_of_a_repeated_document(spark, make_docs):
+    rng = random.Random(1)
+    t, u = prose(rng, 90), prose(rng, 90)
+    docs = make_docs([(2, t), (2, t), (5, t), (3, u), (None, t), (None, t), (7, None), (8, "")])
+    got = P.one_of_each_group(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0) for r in got.collect()) == [0, 0, 2, 3, 7, 8]
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_agree_with_sql(spark, name):
     from collections import Counter

@@ -71,16 +71,17 @@ def _chunks(text: Column) -> Column:
 def repeated_chunks(texts: DataFrame) -> DataFrame:
     """Chunks that occur before, after a byte comparison.
 
-    ``texts`` has ``id``, ``th`` (hash of the text) and ``text``.  Returns id, th and
-    ``spans``, the array of (s, e) segment numbers to remove from that text.
+    ``texts`` has ``id``, ``th`` (hash of the text), ``k`` (hash of both) and
+    ``text``.  Returns k and ``found``, an array of (id, th, spans), where spans
+    are the (s, e) segment numbers to remove from that text.
     First only hashes are counted, so a chunk that a third of all documents hold
     is one row per map task; places of repeated hashes are gathered by document
     (bounded by its length) and the bytes behind them are grouped, again after
     map-side aggregation.  Joins on a chunk have nothing above them that keeps
     Spark from splitting a large partition.
     """
-    key = F.xxhash64("id", "th")  # short stand-in for id and th; bytes are compared under the true ones
-    chunks = saved(texts.select(key.alias("k"), F.inline(_chunks(F.col("text")))), "line-chunks")
+    # k stands in for id and th; bytes are compared, and spans given, under the true ones
+    chunks = saved(texts.select("k", F.inline(_chunks(F.col("text")))), "line-chunks")
     repeated = chunks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     marks = chunks.join(repeated, "h", "left_semi").groupBy("k").agg(F.collect_list(F.struct("s", "e", "h")).alias("marks"))
 
@@ -88,25 +89,25 @@ def repeated_chunks(texts: DataFrame) -> DataFrame:
         return F.transform("marks", lambda m: F.struct(
             m["s"], m["e"], m["h"], F.array_join(F.slice(segments, m["s"] + 1, m["e"] - m["s"]), "").alias("bytes")))
 
-    keyed = texts.withColumn("k", key)
-    held = keyed.join(marks, "k").select("id", "th", F.inline(let(_segments(F.col("text")), bytes_of)))
+    held = texts.join(marks, "k").select("k", "id", "th", F.inline(let(_segments(F.col("text")), bytes_of)))
     place = F.struct("id", "th", "s")
     same = (
         held.groupBy("h", "bytes").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
         .select("h", F.sha2("bytes", 256).alias("sha"), "first")
     )
-    later = held.select("id", "th", "s", "e", "h", F.sha2("bytes", 256).alias("sha")).join(same, ["h", "sha"]).where(place != F.col("first"))
-    return later.groupBy("id", "th").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    later = held.select("k", "id", "th", "s", "e", "h", F.sha2("bytes", 256).alias("sha")).join(same, ["h", "sha"]).where(place != F.col("first"))
+    spans = later.groupBy("k", "id", "th").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    return spans.groupBy("k").agg(F.collect_list(F.struct("id", "th", "spans")).alias("found"))
 
 
 def _cleaned(docs: DataFrame, min_run_chars: int, keep: list[str], text_col: str, id_col: str) -> tuple[DataFrame, DataFrame]:
     """Texts with what is left of them, and the rows without a text."""
-    base = docs.select(F.struct(*keep).alias("kept"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = base.where(F.col("text") != "").withColumn("th", F.xxhash64("text"))
-    spans = repeated_chunks(texts.select("id", "th", "text")).withColumn("k", F.xxhash64("id", "th"))
-    spans = spans.withColumnsRenamed({"id": "span_id", "th": "span_th", "k": "span_k"})
-    texts = texts.withColumn("k", F.xxhash64("id", "th"))
-    same = (texts["k"] == spans["span_k"]) & texts["id"].eqNullSafe(spans["span_id"]) & (texts["th"] == spans["span_th"])
+    carried = [F.col(c).alias(f"__{i}") for i, c in enumerate(keep)]
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *carried)
+    texts = base.where(F.col("text") != "").withColumn("th", F.xxhash64("text")).withColumn("k", F.xxhash64("id", "th"))
+    spans = repeated_chunks(texts)
+    mine = F.get(F.filter("found", lambda x: x["id"].eqNullSafe(F.col("id")) & (x["th"] == F.col("th"))), 0)["spans"]
+    kept = F.struct(F.col("id").alias(id_col), *(F.col(f"__{i}").alias(c) for i, c in enumerate(keep))).alias("kept")
     span_type = "array<struct<s:int,e:int>>"
 
     def runs(sp: Column) -> Column:
@@ -135,10 +136,12 @@ def _cleaned(docs: DataFrame, min_run_chars: int, keep: list[str], text_col: str
         return let(F.filter(runs(F.col("spans")), lambda r: F.length(joined(r["s"], r["e"])) >= min_run_chars), rebuilt)
 
     untouched = F.struct(F.col("text").alias("clean_text"), F.lit(0).cast("long").alias("n_removed"))
+    # joined by k alone, as the chunks' bytes were: the texts are dealt once for both
+    with_spans = texts.join(spans, "k", "left").withColumn("spans", mine)
     result = F.when(F.col("spans").isNull(), untouched).otherwise(let(_segments(F.col("text")), cleaned))
-    done = texts.join(spans, same, "left").select("kept", "text", F.inline(F.array(result)))
+    done = with_spans.select(kept, "text", F.inline(F.array(result)))
     rest = base.where(F.col("text").isNull() | (F.col("text") == "")).select(
-        "kept", "text", F.col("text").alias("clean_text"), F.lit(0).cast("long").alias("n_removed"))
+        kept, "text", F.col("text").alias("clean_text"), F.lit(0).cast("long").alias("n_removed"))
     return done, rest
 
 
@@ -152,7 +155,7 @@ def dedup(docs: DataFrame, min_run_chars: int = MIN_RUN_CHARS, id_col: str = "do
     stays empty.  Repeated rows of one id and text count as one document and get
     the same result.  Other columns of any name are not looked at.
     """
-    done, rest = _cleaned(docs, min_run_chars, [id_col], text_col, id_col)
+    done, rest = _cleaned(docs, min_run_chars, [], text_col, id_col)
     return done.union(rest).select(
         "kept.*", "clean_text", "n_removed",
         F.coalesce(F.length("text") - F.length("clean_text"), F.lit(0)).cast("long").alias("chars_removed"))
@@ -164,6 +167,6 @@ def dedup_rows(docs: DataFrame, min_run_chars: int = MIN_RUN_CHARS, id_col: str
     A row whose whole text was repetition is left out; rows whose text was null
     or empty before are kept as they are.
     """
-    others = [c for c in docs.columns if c != text_col]
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
     done, rest = _cleaned(docs, min_run_chars, others, text_col, id_col)
     return done.where("clean_text <> ''").union(rest).select("kept.*", F.col("clean_text").alias(text_col)).select(*docs.columns)

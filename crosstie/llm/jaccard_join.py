@@ -168,16 +168,15 @@ def _verified(pairs: DataFrame, heads: DataFrame, texts: DataFrame, size: int, p
 
 
 def _pivoted(near: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Documents by a pivot near them: id, pivot, q and d.
+    """Documents by the pivot of their neighbourhood: id, pivot, q and d.
 
     ``d`` is the symmetric difference from the pivot's set.  Two sets of one
     pivot differ by |da| + |db| - 2 |da & db|, so with t the threshold in
     percent they are similar if q(a) + q(b) + 2 (100 + t) |da & db| >= 0, where
     q = (100 - t) |set| - (100 + t) |d|.
     """
-    pivot = near.groupBy("b").agg(F.min("a").alias("a"))
-    alone = pivot.select("a").distinct().join(pivot.select(F.col("b").alias("a")), "a", "left_anti")
-    pivot = pivot.union(alone.select("a", "a"))
+    # the smallest id that near pairs reach: the relation holds for any set that serves as pivot
+    pivot = components(near, "near").select(F.col("comp").alias("a"), F.col("id").alias("b"))
     x = full.select(F.col("id").alias("a"), F.col("hashes").alias("xa")).dropDuplicates(["a"])
     y = full.select(F.col("id").alias("b"), F.col("hashes").alias("xb")).dropDuplicates(["b"])
     d = F.concat(F.array_except("xb", "xa"), F.array_except("xa", "xb"))

@@ -1,10 +1,11 @@
-"""Line dedup by content-defined chunks.
+"""Line dedup by windows of neighbouring segments.
 
-A text is cut into segments: its lines, and inside a line the sentences that a
-full stop ends.  A rolling hash over the hashes of neighbouring segments
-chooses boundaries, so they depend on the passage alone and not on what stands
-before it.  Chunks of several segments that occur again anywhere are compared
-byte by byte and removed from all but their first place.
+A text is cut into segments: its lines, inside a line the parts that end with
+punctuation, and long parts of those once more after words that their
+neighbours choose.  So every cut depends on the passage alone and not on what
+stands before it.  Every window of two segments is looked up; windows that occur
+again anywhere are compared byte by byte and removed from all but their first
+place.
 
 Everything is DataFrame expressions: no Python on the executors.
 """
@@ -14,21 +15,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crosstie.llm.common import let, saved
+from crosstie.llm.common import let
 
-#: a segment ends after a line feed or after a full stop and a blank; nothing is lost
-CUT = r"(?<=\. )|(?<=\n)"
-SEGMENT_ENDS = ("\n", ". ")
+#: a segment ends after a line feed or after punctuation and a blank; nothing is lost
+CUT = r"(?<=[.!?,;:] )|(?<=\n)"
+SEGMENT_ENDS = ("\n", ". ", "! ", "? ", ", ", "; ", ": ")
 SIGN = "\x00"
-#: A boundary belongs to one of this many chunkings by the rolling hash's
-#: remainder.  Together they have a boundary at every segment, so a passage of
-#: some segments holds whole chunks of at least one of them.
-CHUNKINGS = 3
-MIN_SEGMENTS = 2
-#: repeated chunks that touch form a run; shorter runs stay
+#: segments of more characters are cut again, so that 50 words always hold several
+LONG_CHARS = 100
+#: of as many neighbouring words of a long segment one at least ends a piece
+PIECE_WORDS = 8
+#: segments of a window
+WINDOW = 2
+#: repeated windows that touch form a run; shorter runs stay
 MIN_RUN_CHARS = 80
 
 
+def _pieces(segment: Column) -> Column:
+    """A long segment cut after the word with the smallest hash of every
+    ``PIECE_WORDS`` in a row: inside equal passages the same words are chosen."""
+
+    def cut(ws: Column, h: Column) -> Column:
+        n = F.size(h)
+
+        def least(i: Column) -> Column:
+            return let(F.slice(h, i + 1, PIECE_WORDS), lambda near: (i + F.array_position(near, F.array_min(near))).cast("int"))
+
+        chosen = F.array_distinct(F.transform(F.sequence(F.lit(0), n - PIECE_WORDS), least))
+        ends = F.when(n > PIECE_WORDS, chosen).otherwise(F.array().cast("array<int>"))
+
+        def joined(es: Column) -> Column:
+            return F.zip_with(F.concat(F.array(F.lit(0)), es), F.concat(es, F.array(n)),
+                              lambda s, e: F.array_join(F.slice(ws, s + 1, e - s), ""))
+
+        return F.array_remove(let(ends, joined), "")
+
+    return let(F.split(segment, "(?<= )"), lambda ws: let(F.transform(ws, lambda w: F.xxhash64(w)), lambda h: cut(ws, h)))
+
+
 def _segments(text: Column) -> Column:
     """Segments in order; joined they are the text.  Plain replacements and a
     split at one sign do the work of ``CUT`` at a fraction of its cost; a text
@@ -36,68 +60,46 @@ def _segments(text: Column) -> Column:
     marked = text
     for end in SEGMENT_ENDS:
         marked = F.replace(marked, F.lit(end), F.lit(end + SIGN))
-    return F.array_remove(F.when(text.contains(SIGN), F.split(text, CUT)).otherwise(F.split(marked, SIGN)), "")
+    parts = F.array_remove(F.when(text.contains(SIGN), F.split(text, CUT)).otherwise(F.split(marked, SIGN)), "")
+    return F.flatten(F.transform(parts, lambda x: F.when(F.length(x) > LONG_CHARS, _pieces(x)).otherwise(F.array(x))))
 
 
-def _chunks(text: Column) -> Column:
-    """(s, e, h): first segment, end and hash of the chunks of all chunkings."""
+def _windows(text: Column) -> Column:
+    """Hash of the window that begins at each segment but the last."""
 
     def of(h: Column) -> Column:
-        n = F.size(h)
-        # remainder of the rolling hash over a segment and the one before it
-        rest = F.zip_with(h, F.slice(h, 2, n), lambda x, y: F.pmod(F.xxhash64(x, y), F.lit(CHUNKINGS)).cast("int"))
-
-        def one(c: int, r: Column, places: Column) -> Column:
-            inner = F.filter(places, lambda i: F.get(r, i - 2) == c)  # a boundary before the last segment's end
-
-            def cut(es: Column) -> Column:
-                spans = F.zip_with(F.concat(F.array(F.lit(0)), es), F.concat(es, F.array(n)), lambda s, e: F.struct(s.alias("s"), e.alias("e")))
-                return F.filter(spans, lambda x: x["e"] - x["s"] >= MIN_SEGMENTS)
-
-            return let(inner, cut)
-
-        def hashed(spans: Column) -> Column:
-            return F.transform(spans, lambda x: F.struct(x["s"], x["e"], F.xxhash64(F.slice(h, x["s"] + 1, x["e"] - x["s"])).alias("h")))
-
-        def by_places(x: Column) -> Column:
-            return hashed(F.array_distinct(F.concat(*(one(c, x["r"], x["places"]) for c in range(CHUNKINGS)))))
-
-        return let(F.struct(rest.alias("r"), F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: (i >= 2) & (i < n)).alias("places")),
-                   by_places)
+        n = F.greatest(F.size(h) - 1, F.lit(0))
+        return F.zip_with(F.slice(h, 1, n), F.slice(h, 2, n), lambda x, y: F.xxhash64(x, y))
 
     return let(F.transform(_segments(text), lambda x: F.xxhash64(x)), of)
 
 
-def repeated_chunks(texts: DataFrame) -> DataFrame:
-    """Chunks that occur before, after a byte comparison.
+def repeated_windows(texts: DataFrame) -> DataFrame:
+    """Windows that occur more than once, and which of their places come first.
 
     ``texts`` has ``id``, ``th`` (hash of the text), ``k`` (hash of both) and
-    ``text``.  Returns k and ``found``, an array of (id, th, spans), where spans
-    are the (s, e) segment numbers to remove from that text.
-    First only hashes are counted, so a chunk that a third of all documents hold
+    ``text``.  Returns k, ``marks``, the first segments of the windows with a
+    repeated hash, and ``firsts``, an array of (id, th, s), the marks of that text
+    at which their bytes come first; at the others they come again.
+    First only hashes are counted, so a window that a third of all documents hold
     is one row per map task; places of repeated hashes are gathered by document
     (bounded by its length) and the bytes behind them are grouped, again after
-    map-side aggregation.  Joins on a chunk have nothing above them that keeps
+    map-side aggregation.  Joins on a window have nothing above them that keeps
     Spark from splitting a large partition.
     """
-    # k stands in for id and th; bytes are compared, and spans given, under the true ones
-    chunks = saved(texts.select("k", F.inline(_chunks(F.col("text")))), "line-chunks")
-    repeated = chunks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    marks = chunks.join(repeated, "h", "left_semi").groupBy("k").agg(F.collect_list(F.struct("s", "e", "h")).alias("marks"))
+    # k stands in for id and th; bytes are compared, and first places given, under the true ones
+    windows = texts.select("k", F.posexplode(_windows(F.col("text"))).alias("s", "h"))
+    repeated = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    marks = windows.join(repeated, "h", "left_semi").groupBy("k").agg(F.array_distinct(F.collect_list("s")).alias("marks"))
 
     def bytes_of(segments: Column) -> Column:
-        return F.transform("marks", lambda m: F.struct(
-            m["s"], m["e"], m["h"], F.array_join(F.slice(segments, m["s"] + 1, m["e"] - m["s"]), "").alias("bytes")))
+        inside = F.filter("marks", lambda s: s + WINDOW <= F.size(segments))
+        return F.transform(inside, lambda s: F.struct(s.alias("s"), F.array_join(F.slice(segments, s + 1, WINDOW), "").alias("bytes")))
 
     held = texts.join(marks, "k").select("k", "id", "th", F.inline(let(_segments(F.col("text")), bytes_of)))
-    place = F.struct("id", "th", "s")
-    same = (
-        held.groupBy("h", "bytes").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        .select("h", F.sha2("bytes", 256).alias("sha"), "first")
-    )
-    later = held.select("k", "id", "th", "s", "e", "h", F.sha2("bytes", 256).alias("sha")).join(same, ["h", "sha"]).where(place != F.col("first"))
-    spans = later.groupBy("k", "id", "th").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    return spans.groupBy("k").agg(F.collect_list(F.struct("id", "th", "spans")).alias("found"))
+    first = held.groupBy("bytes").agg(F.min(F.struct("id", "th", "s", "k")).alias("first")).select("first.*")
+    firsts = first.groupBy("k").agg(F.collect_list(F.struct("id", "th", "s")).alias("firsts"))
+    return marks.join(firsts, "k", "left")
 
 
 def _cleaned(docs: DataFrame, min_run_chars: int, keep: list[str], text_col: str, id_col: str) -> tuple[DataFrame, DataFrame]:
@@ -105,8 +107,10 @@ def _cleaned(docs: DataFrame, min_run_chars: int, keep: list[str], text_col: str
     carried = [F.col(c).alias(f"__{i}") for i, c in enumerate(keep)]
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *carried)
     texts = base.where(F.col("text") != "").withColumn("th", F.xxhash64("text")).withColumn("k", F.xxhash64("id", "th"))
-    spans = repeated_chunks(texts)
-    mine = F.get(F.filter("found", lambda x: x["id"].eqNullSafe(F.col("id")) & (x["th"] == F.col("th"))), 0)["spans"]
+    found = repeated_windows(texts)
+    mine = F.filter(F.coalesce("firsts", F.array()), lambda x: x["id"].eqNullSafe(F.col("id")) & (x["th"] == F.col("th")))
+    again = F.array_except("marks", F.transform(mine, lambda x: x["s"]))
+    spans = F.transform(again, lambda s: F.struct(s.alias("s"), (s + WINDOW).alias("e")))
     kept = F.struct(F.col("id").alias(id_col), *(F.col(f"__{i}").alias(c) for i, c in enumerate(keep))).alias("kept")
     span_type = "array<struct<s:int,e:int>>"
 
@@ -133,12 +137,13 @@ def _cleaned(docs: DataFrame, min_run_chars: int, keep: list[str], text_col: str
             return F.struct(F.array_join(kept, "").alias("clean_text"),
                             F.aggregate(gone, F.lit(0), lambda a, r: a + r["e"] - r["s"]).cast("long").alias("n_removed"))
 
-        return let(F.filter(runs(F.col("spans")), lambda r: F.length(joined(r["s"], r["e"])) >= min_run_chars), rebuilt)
+        inside = F.filter("spans", lambda x: x["e"] <= F.size(seg))
+        return let(F.filter(runs(inside), lambda r: F.length(joined(r["s"], r["e"])) >= min_run_chars), rebuilt)
 
     untouched = F.struct(F.col("text").alias("clean_text"), F.lit(0).cast("long").alias("n_removed"))
-    # joined by k alone, as the chunks' bytes were: the texts are dealt once for both
-    with_spans = texts.join(spans, "k", "left").withColumn("spans", mine)
-    result = F.when(F.col("spans").isNull(), untouched).otherwise(let(_segments(F.col("text")), cleaned))
+    # joined by k alone, as the windows' bytes were: the texts are dealt once for both
+    with_spans = texts.join(found, "k", "left").withColumn("spans", spans)
+    result = F.when(F.coalesce(F.size("spans"), F.lit(0)) < 1, untouched).otherwise(let(_segments(F.col("text")), cleaned))
     done = with_spans.select(kept, "text", F.inline(F.array(result)))
     rest = base.where(F.col("text").isNull() | (F.col("text") == "")).select(
         kept, "text", F.col("text").alias("clean_text"), F.lit(0).cast("long").alias("n_removed"))
@@ -146,7 +151,7 @@ def _cleaned(docs: DataFrame, min_run_chars: int, keep: list[str], text_col: str
 
 
 def dedup(docs: DataFrame, min_run_chars: int = MIN_RUN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """What is left of each document without chunks that another place holds first.
+    """What is left of each document without passages that another place holds first.
 
     Returns one row per input row: the id, ``clean_text``, ``n_removed``
     (segments) and ``chars_removed``.  The first place is that

@@ -51,6 +51,29 @@ def test_removed_segments_occur_at_an_earlier_place(spark, make_docs):
         assert set(whole) - set(kept) <= before
 
 
+@pytest.mark.parametrize("punctuated", [True, False])
+def test_every_repeated_passage_of_fifty_words_goes(spark, make_docs, punctuated):
+    rng = random.Random(15)
+
+    def prose(sentences):
+        whole = "".join(sentence(rng, rng.choice([5, 9, 14])) + " " for _ in range(sentences))
+        return whole if punctuated else whole.lower().replace(".", "")
+
+    def passage(n=50):
+        return " ".join(prose(14).split()[:n]) + " "
+
+    planted = [passage() for _ in range(40)]
+    rows = [(i, prose(6) + p + prose(6)) for i, p in enumerate(planted)] + [(100 + i, prose(6) + p + prose(6)) for i, p in enumerate(planted)]
+    rows += [(200, prose(6)), (201, "a" * 300 + " " + "b" * 300), (202, "one  two\n\n" * 30)]
+    got = {r.doc_id: r for r in L.dedup(make_docs(rows)).collect()}
+    assert all(got[i].clean_text == t for i, t in rows if i < 100 or i in (200, 201))
+    for i, p in enumerate(planted):
+        # all but the segments or words at which it meets what stands around it
+        assert len(p) / (2 if punctuated else 3) < got[100 + i].chars_removed <= len(p)
+    whole = make_docs(rows).select("text", F.array_join(L._segments(F.col("text")), "").alias("joined"))
+    assert whole.where("text <> joined").count() == 0
+
+
 def test_dedup_edge_rows(spark, make_docs):
     rng = random.Random(1)
     t = text(rng, 12)

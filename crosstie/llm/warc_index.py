@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import gzip
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -103,7 +104,8 @@ def write_archives(pages: DataFrame, path: str) -> None:
 
 def parse_archive(name: str, content: bytes) -> Iterator[tuple]:
     """Records of one unpacked archive in file order, by their stated lengths;
-    offsets count unpacked bytes."""
+    offsets count unpacked bytes.  Raises if a response's payload has another
+    length or digest than its head states."""
     at, size = 0, len(content)
     while at < size:
         end = content.index(b"\r\n\r\n", at)
@@ -115,7 +117,10 @@ def parse_archive(name: str, content: bytes) -> Iterator[tuple]:
         stop = start + length
         if content[stop:stop + 4] != b"\r\n\r\n":
             raise ValueError(f"{name}: the record at byte {at} does not end at {stop}")
-        digest = base64.b32encode(bytes.fromhex(head["WARC-Payload-Digest"].removeprefix("sha1:"))).decode()
+        sha = head["WARC-Payload-Digest"].removeprefix("sha1:")
+        if head["WARC-Type"] == "response" and (length != int(head["X-Payload-Length"]) or hashlib.sha1(memoryview(content)[start:stop]).hexdigest() != sha):
+            raise ValueError(f"{name}: the payload of the record at byte {at} is not the one its head states")
+        digest = base64.b32encode(bytes.fromhex(sha)).decode()
         yield (name, at, stop + 4 - at, _page(head["WARC-Record-ID"]), head["WARC-Target-URI"], head["WARC-Date"], head["WARC-Type"],
                _page(head.get("WARC-Refers-To", "")), int(head["X-Payload-Length"]), digest)
         at = stop + 4

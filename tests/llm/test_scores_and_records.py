@@ -362,3 +362,15 @@ def test_queries_agree_with_sql(spark, name):
         assert sorted(names) == columns
         at = [names.index(c) for c in columns]
         assert got == Counter(tuple(r[i] for i in at) for r in res.fetchall())
+
+
+def test_damaged_payload_is_refused(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a.example/", "<p>payload é</p>"), (2, "http://b.example/", "<p>payload é</p>"), (3, None, None)],
+                                  "page_id long, url string, html string")
+    W.write_archives(pages.coalesce(1), str(tmp_path / "a"))
+    content = b"".join(gzip.decompress(f.read_bytes()) for f in sorted((tmp_path / "a").glob("part-*")))
+    assert len(list(W.parse_archive("a", content))) == 3
+    for damaged in (content.replace(b"payload \xc3", b"paxload \xc3"), content.replace(b"X-Payload-Length: 17", b"X-Payload-Length: 18", 1)):
+        assert damaged != content
+        with pytest.raises(ValueError, match="payload"):
+            list(W.parse_archive("a", damaged))

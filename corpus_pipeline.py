@@ -6,7 +6,7 @@ benchmark leaks, then the mix of the sources.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosstie.llm import decontaminate, jaccard_join, line_dedup, mixing, quality_votes
@@ -32,17 +32,22 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the smallest id.  Of rows
-    that repeat that id one stays; rows without an id all stay."""
-    linked = saved(jaccard_join.link(docs, size=NEAR_WORDS, percent=NEAR_PERCENT), "near-links")
+    """One document of each group of near duplicates: the smallest id, then text
+    hash.  Each row is judged by its own text, so rows that repeat an id with
+    unrelated texts all stay; rows without an id all stay."""
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    if saved(repeated, "repeated-ids").isEmpty():
+        return _smallest_of_each_group(docs, F.col("doc_id"))
+    key = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("hash"), F.length("text").alias("n")))
+    without_id = docs.where("doc_id IS NULL")
+    return _smallest_of_each_group(docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]), key).union(without_id)
+
+
+def _smallest_of_each_group(docs: DataFrame, key: Column) -> DataFrame:
+    """The documents without those that are linked with a smaller key."""
+    linked = saved(jaccard_join.link(docs.select(key.alias("doc_id"), "text"), size=NEAR_WORDS, percent=NEAR_PERCENT), "near-links")
     others = linked.where("component_id <> doc_id").select(F.col("doc_id").alias("__copy")).distinct()
-    kept = docs.join(others, docs["doc_id"] == others["__copy"], "left_anti")
-    twice = linked.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice"))
-    twice = saved(twice, "repeated-ids")
-    if twice.isEmpty():
-        return kept
-    same = kept["doc_id"] == twice["__twice"]
-    return kept.join(twice, same, "left_anti").union(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
+    return docs.join(others, key == others["__copy"], "left_anti")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

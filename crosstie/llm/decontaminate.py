@@ -103,6 +103,8 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = CONTAINMENT) -> Data
 
 
 def remove_leaks(docs: DataFrame, items: DataFrame, percent: int = CONTAINMENT) -> DataFrame:
-    """The documents that contain no benchmark item, with all their columns."""
-    bad = leaks(docs, items, percent).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    """The documents that contain no benchmark item, with all their columns.
+    Each row is judged by its own text, also where an id is repeated or missing."""
+    key = F.struct("doc_id", F.xxhash64("text").alias("text"), F.length("text").alias("n"))
+    bad = leaks(docs.select(key.alias("doc_id"), "text"), items, percent).select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.join(bad, key.eqNullSafe(bad["__bad"]), "left_anti")

@@ -374,3 +374,22 @@ def test_damaged_payload_is_refused(spark, tmp_path):
         assert damaged != content
         with pytest.raises(ValueError, match="payload"):
             list(W.parse_archive("a", damaged))
+
+
+def test_rows_of_one_id_are_judged_by_their_own_text(spark, make_docs, monkeypatch):
+    from crosstie.llm import decontaminate
+
+    words = [f"w{i}" for i in range(400)]
+
+    def t(at):
+        return " ".join(words[at:at + 40])
+
+    rows = [(1, t(0)), (5, t(0)), (5, t(50)), (7, t(100)), (7, t(150)), (7, t(150)), (None, t(200)), (None, t(250))]
+    docs = make_docs(rows)
+    got = sorted(((r.doc_id or 0), r.text) for r in P.one_of_each_group(spark, docs, "").collect())
+    assert got == sorted([(1, t(0)), (5, t(50)), (7, t(100)), (7, t(150)), (0, t(200)), (0, t(250))])
+    bench = spark.createDataFrame([(1, t(0)), (2, t(200))], "item_id long, text string")
+    for limit in (10 ** 6, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)
+        left = sorted(((r.doc_id or 0), r.text) for r in decontaminate.remove_leaks(docs, bench).collect())
+        assert left == sorted([(5, t(50)), (7, t(100)), (7, t(150)), (7, t(150)), (0, t(250))])

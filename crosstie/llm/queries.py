@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosstie.llm import decontaminate, jaccard_join, line_dedup, line_quality, mixing, personal_data, quality_votes, token_counts, toxicity, warc_index
+from crosstie.llm import (
+    decontaminate, jaccard_join, line_dedup, line_quality, mixing, personal_data, prefix_trie, quality_votes, token_counts, toxicity, vector_codes, warc_index,
+)
 from crosstie.llm.common import table
 from crosstie.session import shared_dir
 
@@ -212,3 +214,69 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as read back from the archives, through the merged index."""
     captures = warc_index.archive_pages(table(spark, sf_dir, "pages"), shared_dir(spark, "archives"))
     return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op11_prefix_trie", oracle=r"""
+WITH c AS (SELECT DISTINCT conv_id AS c, conv_id - conv_id % 20 AS b FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+bits AS (SELECT c, b, list_transform(range(0, strlen(c::VARCHAR)), lambda k: ascii(substr(c::VARCHAR, k::BIGINT + 1, 1))) AS s FROM c),
+crc AS (SELECT c, b, xor(list_reduce(list_prepend(4294967295::BIGINT, s::BIGINT[]), lambda a, x:
+    list_reduce(list_prepend(xor(a, x), range(0, 8)), lambda r, _: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384::BIGINT) ELSE r >> 1 END)),
+    4294967295::BIGINT) % 4 AS h FROM bits),
+r AS (SELECT crc.c, 0 AS own, t.i, role, text FROM crc JOIN t ON t.c = crc.b AND t.i <= h
+  UNION ALL SELECT crc.c, 1, t.i, role, text FROM crc JOIN t ON t.c = crc.c AND t.i > h),
+n AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, i) AS d, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+    md5(len(role) || ':' || role || text) AS x FROM r),
+path AS (SELECT c, d, words, string_agg(x, '') OVER (PARTITION BY c ORDER BY d) AS k FROM n UNION ALL SELECT c, 0, 0, '' FROM c),
+node AS (SELECT d, k, min(c) AS m, count(*) AS n_convs, min(words) AS words, left(k, greatest(32 * (d - 1), 0)::BIGINT) AS up FROM path GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, up AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+ends AS (SELECT d, k, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (SELECT c, max(d) AS d, max(k) AS k FROM path GROUP BY c) GROUP BY ALL),
+own AS (SELECT node.*, coalesce(kids.n, 0) AS n_children FROM node LEFT JOIN kids ON kids.d = node.d AND kids.k = node.k),
+total AS (SELECT p.d, p.k, sum((own.n_children = 0)::INTEGER)::BIGINT AS n_leaves, sum((own.n_convs - 1) * own.words)::BIGINT AS saved
+  FROM own JOIN path p ON p.c = own.m AND p.d <= own.d GROUP BY ALL)
+SELECT own.m AS conv_id, own.d::BIGINT AS depth, parent.m AS parent_conv_id, own.n_convs, own.n_children, n_leaves, saved AS saved_tokens,
+  sha256(coalesce(ids, '')) AS ends_sha256
+FROM own JOIN total ON total.d = own.d AND total.k = own.k LEFT JOIN ends ON ends.d = own.d AND ends.k = own.k
+  LEFT JOIN node parent ON parent.d = own.d - 1 AND parent.k = own.up
+""")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of the conversations with their common openings."""
+    turns = table(spark, sf_dir, "conversations")
+    ids = turns.select("conv_id")
+    return prefix_trie.trie(prefix_trie.with_common_openings(prefix_trie.numbered(turns), ids, 20, 3), ids)
+
+
+def _codes_oracle() -> str:
+    """Assignment and update unrolled, one common table each."""
+
+    def assigned(i: int) -> str:
+        return f"""a{i} AS MATERIALIZED (SELECT r, p, min({{'d': d, 'e': e}}) AS m FROM (SELECT r, s.p, e,
+      list_sum(list_transform(range(1, len(s.v) + 1), lambda j: (s.v[j] - b.v[j]) * (s.v[j] - b.v[j])))::BIGINT AS d
+      FROM part s JOIN b{i} b ON b.p = s.p) GROUP BY r, p)"""
+
+    def updated(i: int) -> str:
+        return f"""u{i} AS (SELECT p, e, list(q ORDER BY j) AS v FROM (SELECT s.p, m.e AS e, j, floor(sum(s.v[j]) / count(*))::BIGINT AS q
+      FROM part s JOIN a{i} a ON a.r = s.r AND a.p = s.p, range(1, (SELECT max(len(v)) FROM part) + 1) g(j) GROUP BY s.p, m.e, j) GROUP BY p, e),
+    b{i + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(u.v, b.v) AS v FROM b{i} b LEFT JOIN u{i} u ON u.p = b.p AND u.e = b.e)"""
+
+    steps = ", ".join(f"{assigned(i)}, {updated(i)}" for i in range(vector_codes.ROUNDS)) + ", " + assigned(vector_codes.ROUNDS)
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label,
+    list_transform(embedding, lambda x: floor({vector_codes.SCALE} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+part AS MATERIALIZED (SELECT r, p, v[p * len(v) // {vector_codes.PARTS} + 1:(p + 1) * len(v) // {vector_codes.PARTS}] AS v FROM kept, range({vector_codes.PARTS}) t(p)),
+b0 AS MATERIALIZED (SELECT p, r - 1 AS e, v FROM part WHERE r <= {vector_codes.ENTRIES}),
+{steps},
+f AS MATERIALIZED (SELECT r, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM a{vector_codes.ROUNDS} GROUP BY r),
+k AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS h FROM b{vector_codes.ROUNDS})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM f JOIN kept USING (r), k
+"""
+
+
+@query("op13_vector_codes", oracle=_codes_oracle())
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every vector, and the digest of the codebooks."""
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    code = F.array_join(F.transform("code", lambda x: F.lower(F.lpad(F.hex(x), 2, "0"))), "")
+    return coded.select("vec_id", code.alias("code"), "error", "label_error", F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosstie.llm import (
-    decontaminate, jaccard_join, line_dedup, line_quality, mixing, personal_data, prefix_trie, quality_votes, token_counts, toxicity, vector_codes, warc_index,
+    decontaminate, jaccard_join, line_dedup, line_quality, mixing, personal_data, prefix_trie, quality_votes, suffix_dedup, token_counts, toxicity, vector_codes, warc_index,
 )
 from crosstie.llm.common import table
 from crosstie.session import shared_dir
@@ -247,6 +247,12 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(prefix_trie.with_common_openings(prefix_trie.numbered(turns), ids, 20, 3), ids)
 
 
+@query("op12_suffix_dedup")
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the strings of 400 bytes that start twice."""
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _codes_oracle() -> str:
     """Assignment and update unrolled, one common table each."""
 

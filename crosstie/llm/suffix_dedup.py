@@ -13,13 +13,13 @@ So if the strings of ``LENGTH`` bytes at two places agree, then
    all the strings inside it are, so these places are settled by the rank (the
    name) of the sample alone and never sorted.
 3. what is left, a period or two at the ends of each match, goes into buckets of
-   suffixes that are sorted by their ``LENGTH`` bytes.  The first block of each
-   long tie sends the suffixes inside it too, so that a place whose only equal
-   lies inside a long tie of others meets it.
+   suffixes that are sorted by their ``LENGTH`` bytes.  The first block of a long
+   tie sends the suffixes inside it too, so that a place whose only equal lies
+   inside a long tie of others meets it.
 
 Each of the three is one exchange of names: a block sends each of its names once,
-packed by bucket, a bucket is sorted in one task and answers every block with
-those names that another block has too.  So a passage that a third of all
+packed by bucket, a bucket is sorted in one task and answers every block with a
+bit for each of its names, whether another place has it too.  So a passage that a third of all
 documents hold is one name per block.  The texts themselves are packed and
 written once, bucketed by block, and not dealt again.
 
@@ -30,6 +30,7 @@ costs work (1), 96 bits beside the bucket where they decide (2, 3).
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,52 +117,56 @@ def spread(places: np.ndarray, before: int, after: int, n: int) -> np.ndarray:
     return np.cumsum(starts - ends)[:n] > 0
 
 
-def _packed(block: int, found: np.ndarray) -> Iterator[tuple]:
-    """Rows of one block: bucket, block, and the bucket's names, sorted; those
-    that the block holds once apart from those it holds several times."""
-    if not found.size:
-        return
-    edges = np.flatnonzero(np.concatenate([[True], found["b"][1:] != found["b"][:-1]]))
-    for s, e in zip(edges, [*edges[1:], found.size]):
-        names = found[s:e]
-        yield int(names["b"][0]), block, *(np.ascontiguousarray(names["n"][names["many"] == m]).tobytes() for m in (False, True))
-
-
+#: names where a false hit costs work only, and where they decide
 NARROW = np.dtype("<u4")
 WIDE = np.dtype([("x", "<u8"), ("y", "<u4")])
 
 
-def _split(h: np.ndarray, other: np.ndarray | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and name of every hash."""
-    b = (h % np.uint64(buckets)).astype(np.int64)
-    if other is None:
-        return b, (h >> np.uint64(32)).astype(NARROW)
-    names = np.empty(h.size, WIDE)
-    names["x"], names["y"] = h, (other >> np.uint64(32)).astype(np.uint32)
-    return b, names
-
-
-def _order(names: np.ndarray, *then: np.ndarray) -> np.ndarray:
-    return np.lexsort((*then, names) if names.dtype == NARROW else (*then, names["y"], names["x"]))
-
-
-def _distinct(h: np.ndarray, other: np.ndarray | None, buckets: int) -> np.ndarray:
-    """Distinct names of a block with their buckets, and whether it has several."""
-    b, names = _split(h, other, buckets)
-    order = np.lexsort((names, b)) if other is None else np.lexsort((names["y"], names["x"], b))
-    b, names = b[order], names[order]
-    out = np.empty(names.size, [("b", np.int64), ("n", names.dtype), ("many", bool)])
-    new = np.concatenate([[True], (b[1:] != b[:-1]) | (names[1:] != names[:-1])]) if names.size else np.zeros(0, bool)
-    out["b"], out["n"] = b, names
-    out["many"][:-1] = ~new[1:]
-    out["many"][-1:] = False
-    return out[new]
+class Listed:
+    """Distinct names of a block in order of their hashes, and so of their
+    buckets, which are ranges of hashes."""
+
+    def __init__(self, h: np.ndarray, other: np.ndarray | None, buckets: int) -> None:
+        order = np.argsort(h, kind="stable") if other is None else np.lexsort((other, h))
+        s = h[order]
+        new = np.ones(s.size, bool)
+        new[1:] = s[1:] != s[:-1]
+        if other is None:
+            self.names = (s[new] & np.uint64(0xFFFFFFFF)).astype(NARROW)
+        else:
+            o = other[order]
+            new[1:] |= o[1:] != o[:-1]
+            self.names = np.empty(int(new.sum()), WIDE)
+            self.names["x"], self.names["y"] = s[new], o[new].astype(np.uint32)
+        self.many = np.diff(np.append(np.flatnonzero(new), s.size)) > 1
+        #: of every place the number of its name
+        self.of = np.empty(s.size, np.int64)
+        self.of[order] = np.cumsum(new) - 1
+        bucket = (s[new] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        self.cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+
+    def rows(self, block: int) -> Iterator[tuple]:
+        """Bucket, block, names, and which of them the block holds several times."""
+        for b in np.flatnonzero(np.diff(self.cuts)):
+            part = slice(self.cuts[b], self.cuts[b + 1])
+            yield int(b), block, self.names[part].tobytes(), np.packbits(self.many[part]).tobytes()
+
+    def flagged(self, answers: pa.Table, column: str) -> np.ndarray:
+        """Places whose names the answers mark."""
+        marked = np.zeros(self.names.size, bool)
+        for b, bits in zip(answers["b"].to_pylist(), answers[column].to_pylist()):
+            marked[self.cuts[b]:self.cuts[b + 1]] = _bits(bits, self.cuts[b + 1] - self.cuts[b])
+        return marked[self.of]
+
+
+def _bits(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8), count=int(n)).view(bool)
 
 
 def _repeated(names: np.ndarray, many: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which of the names, each once per block, occur in another block or were
     several in their own; and which of these are in the first of their blocks."""
-    order = _order(names, block)
+    order = np.lexsort((block, names) if names.dtype == NARROW else (block, names["y"], names["x"]))
     s = names[order]
     same = s[1:] == s[:-1]
     hit, first = many[order].copy(), np.ones(names.size, bool)
@@ -173,59 +178,32 @@ def _repeated(names: np.ndarray, many: np.ndarray, block: np.ndarray) -> tuple[n
     return out, lead
 
 
-def _answers(sent: DataFrame, wide: bool) -> DataFrame:
-    """For every block the names that are repeated, and those of them of which it
-    is the first block: block, b, names, lead."""
-    kind = WIDE if wide else NARROW
+SENT = (("b", pa.int64()), ("block", pa.int64()), ("names", pa.binary()), ("many", pa.binary()))
+ANSWER = (("b", pa.int64()), ("block", pa.int64()), ("hit", pa.binary()), ("lead", pa.binary()))
 
-    def settle(table: pa.Table) -> pa.Table:
-        columns = [table[c].to_pylist() for c in ("b", "block", "once", "many")]
-        parts, flags, rows = [], [], []
-        for i, (once, many) in enumerate(zip(*columns[2:])):
-            for data, flag in ((once, False), (many, True)):
-                names = np.frombuffer(data, kind)
-                parts.append(names)
-                flags.append(np.full(names.size, flag))
-                rows.append(np.full(names.size, i, np.int32))
-        names, rows = np.concatenate(parts), np.concatenate(rows)
-        hit, lead = _repeated(names, np.concatenate(flags), np.array(columns[1])[rows])
-        names, rows, lead = names[hit], rows[hit], lead[hit]  # rows ascend
-        cuts = np.searchsorted(rows, np.arange(len(columns[0]) + 1))
-        out = []
-        for i, (s, e) in enumerate(zip(cuts[:-1], cuts[1:])):
-            if s < e:
-                out.append((columns[1][i], columns[0][i], names[s:e].tobytes(), names[s:e][lead[s:e]].tobytes() if wide else b""))
-        types = (("block", pa.int64()), ("b", pa.int64()), ("names", pa.binary()), ("lead", pa.binary()))
-        return pa.table({k: pa.array([o[j] for o in out], t) for j, (k, t) in enumerate(types)})
-
-    return sent.groupBy("b").applyInArrow(settle, "block long, b long, names binary, lead binary")
-
-
-def _hits(h: np.ndarray, other: np.ndarray | None, buckets: int, answers: pa.Table, kind: np.dtype, column: str = "names") -> np.ndarray:
-    """Which of the hashes are among the answers' names."""
-    b, names = _split(h, other, buckets)
-    out = np.zeros(h.size, bool)
-    order = np.argsort(b, kind="stable")
-    cuts = np.searchsorted(b[order], np.arange(buckets + 1))
-    for bucket, data in zip(answers["b"].to_pylist(), answers[column].to_pylist()):
-        mine = order[cuts[bucket]:cuts[bucket + 1]]
-        out[mine] = _isin(names[mine], np.frombuffer(data, kind))
-    return out
+
+def _table(rows: list[tuple], columns: tuple) -> pa.Table:
+    return pa.table({c: pa.array([r[j] for r in rows], t) for j, (c, t) in enumerate(columns)})
 
 
-def _isin(names: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if names.dtype == NARROW:
-        return np.isin(names, known)
-    both = np.concatenate([known, names])
-    order = _order(both)
-    s = both[order]
-    new = np.concatenate([[True], s[1:] != s[:-1]])
-    group = np.cumsum(new) - 1
-    is_known = np.zeros(group[-1] + 1, bool)
-    is_known[group[order < known.size]] = True
-    out = np.empty(both.size, bool)
-    out[order] = is_known[group]
-    return out[known.size:]
+def _ddl(columns: tuple) -> str:
+    return ", ".join(f"{c} {'binary' if t == pa.binary() else 'long'}" for c, t in columns)
+
+
+def _answers(sent: DataFrame, kind: np.dtype) -> DataFrame:
+    """For every block, as bits over the names it sent: those that are repeated,
+    and those of them of which it is the first block."""
+
+    def settle(table: pa.Table) -> pa.Table:
+        columns = [table[c].to_pylist() for c, _ in SENT]
+        parts = [np.frombuffer(x, kind) for x in columns[2]]
+        cuts = np.cumsum([0, *(x.size for x in parts)])
+        many = np.concatenate([_bits(x, p.size) for x, p in zip(columns[3], parts)])
+        hit, lead = _repeated(np.concatenate(parts), many, np.repeat(columns[1], np.diff(cuts)))
+        return _table([(b, block, np.packbits(hit[s:e]).tobytes(), np.packbits(lead[s:e]).tobytes())
+                       for b, block, s, e in zip(columns[0], columns[1], cuts[:-1], cuts[1:]) if hit[s:e].any()], ANSWER)
+
+    return sent.groupBy("b").applyInArrow(settle, _ddl(ANSWER))
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -298,67 +276,66 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     n_sample = max(1, -(-int(total * share) * NARROW.itemsize // BUCKET_BYTES))
     n_rest = max(1, -(-int(total * share) * WIDE.itemsize // BUCKET_BYTES))
     short, long = LENGTH - PERIOD + 1, LENGTH + PERIOD
-    sent = "b long, block long, once binary, many binary"
 
-    def rows(found: list[tuple]) -> pa.Table:
-        types = (("b", pa.int64()), ("block", pa.int64()), ("once", pa.binary()), ("many", pa.binary()))
-        return pa.table({k: pa.array([f[j] for f in found], t) for j, (k, t) in enumerate(types)})
+    def sample_of(data: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, Listed]:
+        places = sampled(data.size)
+        places = places[left[places] >= short]
+        return places, Listed(*Namer().names(data, places, short, second=False), n_sample)
 
     def send_sample(row: pa.Table) -> pa.Table:
         data, lengths = _opened(row)
-        places = sampled(data.size)
-        places = places[room(lengths)[places] >= short]
-        h, _ = Namer().names(data, places, short, second=False)
-        return rows(list(_packed(row["block"][0].as_py(), _distinct(h, None, n_sample))))
+        return _table(list(sample_of(data, room(lengths))[1].rows(row["block"][0].as_py())), SENT)
 
-    sample = saved(_answers(blocks.groupBy("block").applyInArrow(send_sample, sent), wide=False), "sample-names")
+    sample = saved(_answers(blocks.groupBy("block").applyInArrow(send_sample, _ddl(SENT)), NARROW), "sample-answers")
 
     def send_long(row: pa.Table, answers: pa.Table) -> pa.Table:
         """Repeated samples of the block, and the names of the long strings there."""
-        found = []
-        if row.num_rows and answers.num_rows:
-            data, lengths = _opened(row)
-            places, left = sampled(data.size), room(lengths)
-            places = places[left[places] >= short]
-            namer = Namer()
-            h, _ = namer.names(data, places, short, second=False)
-            hit = places[_hits(h, None, n_sample, answers, NARROW)]
-            block = row["block"][0].as_py()
-            found.append((-1, block, hit.astype(np.int32).tobytes(), b""))
-            longer = hit[left[hit] >= long]
-            found += _packed(block, _distinct(*namer.names(data, longer, long, second=True), n_rest))
-        return rows(found)
-
-    stage = saved(blocks.groupBy("block").cogroup(sample.groupBy("block")).applyInArrow(send_long, sent), "long-names")
-    ties = _answers(stage.where("b >= 0"), wide=True)
+        if not (row.num_rows and answers.num_rows):
+            return _table([], SENT)
+        data, lengths = _opened(row)
+        left, block = room(lengths), row["block"][0].as_py()
+        places, names = sample_of(data, left)
+        hit = names.flagged(answers, "hit")
+        longer = places[hit & (left[places] >= long)]
+        listed = Listed(*Namer().names(data, longer, long, second=True), n_rest)
+        return _table([(-1, block, zlib.compress(np.packbits(hit).tobytes(), 1), b""), *listed.rows(block)], SENT)
+
+    stage = saved(blocks.groupBy("block").cogroup(sample.groupBy("block")).applyInArrow(send_long, _ddl(SENT)), "long-names")
     # the block's own samples travel with its answers, marked by the bucket -1
-    state = saved(ties.union(stage.where("b < 0").select("block", "b", F.col("once").alias("names"), F.col("many").alias("lead"))), "long-ties")
-
-    def settled(data: np.ndarray, lengths: np.ndarray, answers: pa.Table, namer: Namer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places that long ties prove repeated, those left to be sorted, and
-        those inside long ties of which this is the first block."""
-        own = np.array(answers["b"].to_pylist()) == -1
-        hit = np.frombuffer(answers.filter(pa.array(own))["names"][0].as_py(), np.int32).astype(np.int64)
-        left = room(lengths)
+    own = stage.where("b < 0").select("b", "block", F.col("names").alias("hit"), F.col("many").alias("lead"))
+    state = saved(_answers(stage.where("b >= 0"), WIDE).union(own), "long-answers")
+
+    def settled(data: np.ndarray, lengths: np.ndarray, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, Listed]:
+        """Places that long ties prove repeated, and the places that are sorted with their names.
+
+        Sorted are those left open, and those inside long ties of none of which
+        another block is the first: following first blocks from any of them ends
+        at one that sends the same string.
+        """
+        left, places = room(lengths), sampled(data.size)
+        places = places[left[places] >= short]
+        mine = np.array(answers["b"].to_pylist()) == -1
+        bits = zlib.decompress(answers.filter(pa.array(mine))["hit"][0].as_py())
+        hit = places[_bits(bits, places.size)]
         longer = hit[left[hit] >= long]
-        names, ties = namer.names(data, longer, long, second=True), answers.filter(pa.array(~own))
-        proven, leading = (spread(longer[_hits(*names, n_rest, ties, WIDE, column)], 0, PERIOD, data.size) for column in ("names", "lead"))
+        namer, ties = Namer(), answers.filter(pa.array(~mine))
+        listed = Listed(*namer.names(data, longer, long, second=True), n_rest)
+        tied, lead = listed.flagged(ties, "hit"), listed.flagged(ties, "lead")
+        proven = spread(longer[tied], 0, PERIOD, data.size)
         # a sample of the next text never vouches for a place of this one: its string would cross the end
-        rest = spread(hit, PERIOD - 1, 0, data.size) & (left >= LENGTH) & ~proven
-        return proven, np.flatnonzero(rest), leading
+        open_ = spread(hit, PERIOD - 1, 0, data.size) & (left >= LENGTH) & ~proven
+        first = proven & ~spread(longer[tied & ~lead], 0, PERIOD, data.size)
+        rest = np.flatnonzero(open_ | first)
+        return proven, rest, Listed(*namer.names(data, rest, LENGTH, second=True), n_rest)
 
     def send_rest(row: pa.Table, answers: pa.Table) -> pa.Table:
         if not (row.num_rows and answers.num_rows):
-            return rows([])
-        data, lengths = _opened(row)
-        namer = Namer()
-        _, rest, leading = settled(data, lengths, answers, namer)
-        leading[rest] = True
-        return rows(list(_packed(row["block"][0].as_py(), _distinct(*namer.names(data, np.flatnonzero(leading), LENGTH, second=True), n_rest))))
+            return _table([], SENT)
+        return _table(list(settled(*_opened(row), answers)[2].rows(row["block"][0].as_py())), SENT)
 
-    sorted_ = _answers(blocks.groupBy("block").cogroup(state.groupBy("block")).applyInArrow(send_rest, sent), wide=True)
+    last = _answers(blocks.groupBy("block").cogroup(state.groupBy("block")).applyInArrow(send_rest, _ddl(SENT)), WIDE)
     # answers of the sorted suffixes are told from those of the long ties by their bucket
-    both = saved(state.union(sorted_.select("block", (F.col("b") + n_rest).alias("b"), "names", F.lit(b"").alias("lead"))), "suffix-names")
+    both = state.union(last.withColumn("b", F.col("b") + n_rest))
 
     def cut(row: pa.Table, answers: pa.Table) -> pa.Table:
         if not row.num_rows:
@@ -368,11 +345,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         gone = np.zeros(data.size, bool)
         if answers.num_rows:
             bucket = np.array(answers["b"].to_pylist())
-            namer = Namer()
-            proven, rest, _ = settled(data, lengths, answers.filter(pa.array(bucket < n_rest)), namer)
+            proven, rest, listed = settled(data, lengths, answers.filter(pa.array(bucket < n_rest)))
             late = answers.filter(pa.array(bucket >= n_rest))
-            late = pa.table({"b": pa.array(bucket[bucket >= n_rest] - n_rest), "names": late["names"]})
-            more = rest[_hits(*namer.names(data, rest, LENGTH, second=True), n_rest, late, WIDE)]
+            late = late.set_column(0, "b", pa.array(bucket[bucket >= n_rest] - n_rest))
+            more = rest[listed.flagged(late, "hit")]
             gone = spread(np.concatenate([np.flatnonzero(proven), more]), 0, LENGTH - 1, data.size)
         ends = np.cumsum(lengths)
         out = []

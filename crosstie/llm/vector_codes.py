@@ -86,7 +86,7 @@ def _integers(vectors: pa.ListArray, dim: int, n_parts: int, scale: int) -> tupl
     usable[usable] = fits
     out = np.zeros((int(fits.sum()), n_parts * width), np.int64)
     out[:, :dim] = floats[fits].astype(np.int64)
-    return usable, out.reshape(-1, n_parts, width)
+    return usable, out.reshape(len(out), n_parts, width)
 
 
 def _finite(vector: Column) -> Column:

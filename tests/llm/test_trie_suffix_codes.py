@@ -196,7 +196,7 @@ def test_vector_codes_edges(spark):
     rows = [(1, [0.5] * 5, "a", 0), (None, [0.25] * 5, None, 0), (2, None, "a", 0), (3, [1.0, None, 1.0, 1.0, 1.0], "a", 0), (4, [float("nan")] * 5, "a", 0),
             (5, [float("inf")] * 5, "a", 0), (6, [0.5] * 4, "b", 0), (7, [1e30] * 5, "b", 0), (8, [], "b", 0), (1, [0.5] * 5, "a", 0)]
     coded, books = vector_codes.compress(spark.createDataFrame(rows, schema), n_parts=2)
-    found = sorted(((r.vec_id or 0), r.code, r.error, r.label_error) for r in coded.collect())
+    found = sorted(((r.vec_id or 0, r.code, r.error, r.label_error) for r in coded.collect()), key=lambda f: f[0])
     assert books.shape == (2, 2, 3)  # five components in two parts of three; the row without an id starts no entry
     assert [f[0] for f in found] == [0, 1, 1, 6, 7, 8] and [f[1] is None for f in found] == [False, False, False, True, True, True]
     assert found[1][1] == [1, 1]  # the first of the equal entries moved to its mean with the row without an id

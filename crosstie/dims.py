@@ -309,6 +309,26 @@ PAGE1_FORM_ORDER = [
     ("PrincipalBusinessActivityDesc", "Principal business activity", "1g"),
     ("FunctionalCurrencyCd", "Functional currency code", "1h"),
 ]
+BRANCH = "IRS8858"
+#: fixed values: page 1 of the form of branches and disregarded entities, in its order; the tags are ours
+PAGE1_BRANCH_FIELDS = [
+    ("BusinessNameLine1Txt", "Name of FDE or FB", "1a"),
+    ("AddressLine1Txt", "Address", "1a"),
+    ("CityNm", "City", "1a"),
+    ("CountryCd", "Country", "1a"),
+    ("EIN", "U.S. identifying number", "1b(1)"),
+    ("ReferenceIdNum", "Reference ID number", "1b(2)"),
+    ("OrganizationCountryCd", "Country of organization / entity type", "1c"),
+    ("OrganizationDt", "Date(s) of organization", "1d"),
+    ("EffectiveDt", "Effective date as FDE", "1e"),
+    ("PrincipalBusinessCountryCd", "Country of principal business activity", "1g"),
+    ("BusinessActivityCd", "Business activity code", "1h"),
+    ("BusinessActivityDesc", "Principal business activity", "1i"),
+    ("FunctionalCurrencyCd", "Functional currency", "1j"),
+    ("TaxOwnerName", "Tax owner name", "3a"),
+    ("TaxOwnerCountryCd", "Tax owner country", "3d"),
+    ("TaxOwnerFunctionalCurrencyCd", "Tax owner functional currency", "3e"),
+]
 EP_MOVEMENT_FIELDS = [
     ("ForeignCYNetIncomePerBooksAmt", "Net income per books", "1"),
     ("TotalNetAdditionsAmt", "Total additions", "3"),

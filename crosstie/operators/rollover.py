@@ -173,11 +173,11 @@ def schf_footing(facts: DataFrame, year: int) -> DataFrame:
             .withColumn("status", F.when(F.abs("difference") < 1, "OK").otherwise("Review")))
 
 
-def page1_rollover(facts: DataFrame, py: int, cy: int, fields: list[tuple[str, str, str]] | None = None) -> DataFrame:
-    """Identity fields stay the same; case and outer blanks do not matter."""
+def page1_rollover(facts: DataFrame, py: int, cy: int, fields: list[tuple[str, str, str]] | None = None, form: str = D.MAIN) -> DataFrame:
+    """Identity fields of a form stay the same; case and outer blanks do not matter."""
     fields = fields or D.PAGE1_FIELDS
-    pairs = matched(facts, py, cy, {D.MAIN: [f for f, _, _ in fields]})
-    lines = [(d, ln, [f"{D.MAIN}_{f}"], [f"{D.MAIN}_{f}"]) for f, d, ln in fields]
+    pairs = matched(facts, py, cy, {form: [f for f, _, _ in fields]})
+    lines = [(d, ln, [f"{form}_{f}"], [f"{form}_{f}"]) for f, d, ln in fields]
     return (_some(_items(pairs, D.REPORTS[2], lines))
             .withColumn("difference", F.lit(0.0))
             .withColumn("passes", F.expr("upper(trim(py_value)) = upper(trim(cy_value))")).select(*ITEM_COLUMNS))

@@ -31,7 +31,12 @@ def _text(x: str) -> str:
 
 
 def matrix_schedules(cells: DataFrame, schedules: list[str] | None = None) -> DataFrame:
-    """Matrix sheets as (workbook_id, schedule, entity_code, field, line, value, num).
+    """Matrix sheets as (workbook_id, schedule, entity_code, field, line, value, num)."""
+    return matrix_positions(cells, schedules).drop("sheet", "row", "col")
+
+
+def matrix_positions(cells: DataFrame, schedules: list[str] | None = None) -> DataFrame:
+    """Matrix sheets as (workbook_id, schedule, entity_code, sheet, row, col, field, line, value, num).
 
     Header cells that start with ``C`` name the entities; the first other text
     ends them; blanks are skipped.  Every entity gets every field of the
@@ -59,9 +64,9 @@ def matrix_schedules(cells: DataFrame, schedules: list[str] | None = None) -> Da
         for s in schedules) + " END"
     # of several columns with one code the last one counts
     per_code = kept.groupBy("workbook_id", "schedule", F.col("code").alias("entity_code")).agg(
-        F.expr("max_by(m, col) AS m"))
-    out = per_code.selectExpr("workbook_id", "schedule", "entity_code", "m", f"{first} AS first_row", f"inline({lines})")
-    return out.selectExpr("workbook_id", "schedule", "entity_code", "field", "line",
+        F.expr("max_by(struct(m, sheet, col), col) AS x"))
+    out = per_code.selectExpr("workbook_id", "schedule", "entity_code", "x.*", f"{first} AS first_row", f"inline({lines})")
+    return out.selectExpr("workbook_id", "schedule", "entity_code", "sheet", "first_row + o AS row", "col", "field", "line",
                           "coalesce(m[first_row + o], '0') AS value").withColumn("num", F.expr(number("value")))
 
 

@@ -17,7 +17,7 @@ from crosstie.operators.reshape import quote
 from crosstie.plans import fixture as X
 from crosstie.plans.fixture import every
 from crosstie.plans.store import stored_path, stored_table
-from crosstie.sources.xml import discover_schema
+from crosstie.sources.xml import Ingested, discover_schema, ingest, ingested
 
 SLOTS = 200
 BUCKET, SLOT = f"CAST(floor(k / {SLOTS}) AS INT)", f"CAST(k % {SLOTS} AS INT)"
@@ -281,3 +281,36 @@ def document_schema(spark: SparkSession, sf_dir: str) -> T.StructType:
     if path not in _SCHEMAS:
         _SCHEMAS[path] = discover_schema(spark, path)
     return _SCHEMAS[path]
+
+
+def documents(spark: SparkSession, sf_dir: str) -> Ingested:
+    """The documents' records, read in one pass and stored once per application."""
+    path, schema = document_path(spark, sf_dir), document_schema(spark, sf_dir)
+    return ingested(spark, stored_path(spark, sf_dir, "ingested", lambda out: ingest(spark, path, schema, out)))
+
+
+#: elements that the narrow schema of the damaged documents leaves out
+LEFT_OUT = {"ReturnData": D.SCH_H, f"ReturnData_{D.MAIN}": "IncorporationDt"}
+#: by bucket: cut off at the end, or with another count in the header
+CUT, MISCOUNTED = "bucket % 7 = 3", "bucket % 5 = 1"
+
+
+def damaged_documents(spark: SparkSession, sf_dir: str) -> Ingested:
+    """The documents again, some cut off, some miscounted, read with a schema that lacks some elements."""
+
+    def write(path: str) -> None:
+        docs = spark.read.text(document_path(spark, sf_dir), wholetext=True).withColumn("bucket", F.expr("CAST(split(doc, '-')[1] AS INT)"))
+        text = f"""CASE WHEN {CUT} THEN substring(value, 1, length(value) - 40)
+          WHEN {MISCOUNTED} THEN replace(value, 'subsidiaryReturnCount=\"', 'subsidiaryReturnCount=\"1') ELSE value END AS value"""
+        docs.selectExpr("ty", "doc", text).write.partitionBy("ty", "doc").text(path)
+
+    def narrow(t: T.DataType, path: str) -> T.DataType:
+        if isinstance(t, T.ArrayType):
+            return T.ArrayType(narrow(t.elementType, path))
+        if not isinstance(t, T.StructType):
+            return t
+        return T.StructType([T.StructField(f.name, narrow(f.dataType, f"{path}_{f.name}" if path else f.name)) for f in t.fields if LEFT_OUT.get(path) != f.name])
+
+    path = stored_path(spark, sf_dir, "damaged", write)
+    schema = narrow(document_schema(spark, sf_dir), "")
+    return ingested(spark, stored_path(spark, sf_dir, "damaged-ingested", lambda out: ingest(spark, path, schema, out)))

@@ -20,7 +20,7 @@ from crosstie.plans.store import stored_table
 from crosstie.session import shared_dir
 from crosstie.sinks import tables as S
 from crosstie.sources import grid
-from crosstie.streaming.single_year import stream_single_year
+from crosstie.streaming.single_year import current, stream_single_year
 
 PY, CY = X.PY, X.CY
 
@@ -354,4 +354,4 @@ def _stream(spark, sf_dir):
     schema = I.document_schema(spark, sf_dir)
     run = stream_single_year(spark, path, schema, CY, out, f"{out}-state")
     run.awaitTermination()
-    return QU.short(spark.read.parquet(f"{out}/findings"))
+    return QU.short(current(spark, out, CY))

@@ -24,18 +24,12 @@ _SIDES = "(SELECT *, 'p' AS side, 1996 AS y, name_p AS nm, ccy_p AS ccy FROM cus
 # XML -------------------------------------------------------------------------------
 
 
-def _returns(spark, sf_dir, identity: bool = False):
-    path, schema = I.document_path(spark, sf_dir), I.document_schema(spark, sf_dir)
-    schema = xml.identity_schema(schema) if identity else schema
-    return xml.scan_returns(spark, path, schema), xml.return_header(spark, path)
-
-
 @query("scan_returns", f"SELECT {_DOC} AS filer_ein, CAST(y AS STRING) AS tax_year, count(*) AS returns, count(*) AS with_data"
        f" FROM {_SIDES} GROUP BY 1, 2")
 def _scan(spark, sf_dir):
-    returns, headers = _returns(spark, sf_dir, identity=True)
-    per_file = returns.groupBy("source_path").agg(F.expr("count(*) AS returns"), F.expr("count(ReturnData) AS with_data"))
-    return per_file.join(headers, "source_path").select("filer_ein", "tax_year", "returns", "with_data")
+    docs = I.documents(spark, sf_dir)
+    per_file = docs.records.groupBy("source_path").agg(F.expr("count(*) AS returns"), F.expr("count_if(has_return_data) AS with_data"))
+    return per_file.join(docs.headers, "source_path").select("filer_ein", "tax_year", "returns", "with_data")
 
 
 @query("return_header", f"SELECT {_DOC} AS filer_ein, concat(seg, ' GROUP') AS filer_name, '1120' AS return_type, CAST(y AS STRING) AS tax_year,"
@@ -60,8 +54,8 @@ def _with_filer(rows, headers):
 
 @query("list_entities", f"SELECT {_LIST} FROM {_SIDES}")
 def _list(spark, sf_dir):
-    returns, headers = _returns(spark, sf_dir, identity=True)
-    return _with_filer(xml.list_entities(returns), headers)
+    docs = I.documents(spark, sf_dir)
+    return _with_filer(xml.listed(docs.records), docs.headers)
 
 
 _CATS = "concat_ws(',', CASE WHEN k % 2 = 0 THEN '1a,1b,1c' END, '4', CASE WHEN k % 3 = 0 THEN '5a,5b,5c' END) AS categories"
@@ -72,19 +66,38 @@ _CATS = "concat_ws(',', CASE WHEN k % 2 = 0 THEN '1a,1b,1c' END, '4', CASE WHEN
        f" UNION ALL SELECT {_LIST}, '', CASE WHEN k % 4 = 0 THEN '0.75' ELSE '1' END, {_CATS}, concat('City ', CAST(nat AS STRING)), true"
        f" FROM {_SIDES} WHERE side = 'c' AND k % 77 = 0")
 def _info(spark, sf_dir):
-    returns, headers = _returns(spark, sf_dir, identity=True)
-    rows = xml.entities(returns).withColumn("categories", F.array_join("category_filers", ",")).withColumn("city", F.col("address.city"))
-    return _with_filer(rows.drop("category_filers", "address"), headers)
+    docs = I.documents(spark, sf_dir)
+    rows = docs.records.withColumn("categories", F.array_join("category_filers", ",")).withColumn("city", F.col("address.city"))
+    return _with_filer(rows.drop("category_filers", "address", "facts", "is_corrupt", "unknown"), docs.headers)
 
 
 @query("flatten_facts", f"SELECT {_DOC} AS return_id, CASE side WHEN 'p' THEN 1996 ELSE 1997 END AS tax_year, code AS entity_code, form, basket,"
        " path, value, value = '' AS is_blank FROM facts WHERE path <> form", facts=[])
 def _flatten(spark, sf_dir):
-    returns, headers = _returns(spark, sf_dir)
-    rows = xml.flatten_facts(returns, headers).where("path <> form")
+    rows = I.documents(spark, sf_dir).facts().where("path <> form")
     return rows.select("return_id", "tax_year", "entity_code", "form", "basket", "path", "value", "is_blank")
 
 
+_DAMAGED = f"(SELECT *, {I.BUCKET} AS bucket FROM {_SIDES})"
+
+
+@query("bad_files", f"SELECT {_DOC} AS filer, y AS tax_year, CASE WHEN {I.CUT} THEN 'corrupt' ELSE 'count' END AS reason, CASE WHEN {I.CUT} THEN NULL"
+       f" ELSE CAST(concat('1', CAST(count(*) AS VARCHAR)) AS INT) END AS stated, CASE WHEN NOT {I.CUT} THEN count(*) END AS found FROM {_DAMAGED} WHERE {I.CUT} OR {I.MISCOUNTED}"
+       f" GROUP BY seg, bucket, y, {_DOC}")
+def _bad_files(spark, sf_dir):
+    place = "regexp_extract(source_path, '/ty=([0-9]+)/doc=([^/]+)/', {})"
+    cut = "reason = 'corrupt'"  # how much of a broken file is found is the parser's affair
+    return I.damaged_documents(spark, sf_dir).bad_files.selectExpr(
+        f"{place.format(2)} AS filer", f"CAST({place.format(1)} AS INT) AS tax_year", "reason", f"CASE WHEN NOT {cut} THEN stated END AS stated",
+        f"CASE WHEN NOT {cut} THEN found END AS found")
+
+
+@query("schema_gaps", "SELECT parent, count(*) AS n_records, count(*) AS n_elements FROM ("
+       f"SELECT unnest(CASE WHEN k % 31 <> 0 THEN ['ReturnData', 'ReturnData_{D.MAIN}'] ELSE ['ReturnData_{D.MAIN}'] END) AS parent FROM {_DAMAGED} WHERE NOT ({I.CUT} OR {I.MISCOUNTED})) GROUP BY parent")
+def _schema_gaps(spark, sf_dir):
+    return I.damaged_documents(spark, sf_dir).schema_gaps
+
+
 @query("facts_layout", "SELECT seg AS return_id, code AS entity_code, path, count(*) AS n, min(value) AS value FROM ("
        " SELECT seg, code, replace(path, 'IRS5471_IRS', 'IRS') AS path, value FROM facts WHERE form = 'IRS5471' AND side = 'c'"
        " AND path LIKE 'IRS5471\\_IRS5471ScheduleF\\_%' ESCAPE '\\') GROUP BY ALL", facts=["IRS5471"])

@@ -9,7 +9,6 @@ expression over the matched pair.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +19,7 @@ from crosstie.operators.pools import number
 from crosstie.operators.reshape import value_map
 from crosstie.operators.rules import lit
 from crosstie.schema import ITEM_COLUMNS
+from crosstie.session import shared_dir
 
 Paths = dict[str, list[str]]  # form -> tags
 
@@ -213,16 +213,20 @@ def gilti_comparison(facts: DataFrame, py: int, cy: int) -> DataFrame:
 def entity_changes(facts: DataFrame, py: int, cy: int) -> DataFrame:
     """Entities that are new or gone, keyed by code or else name."""
     tags = ["CountryUnderWhoseLawsIncCd", "FunctionalCurrencyCd"]
+    return _entity_changes(entity_rows(facts, py, {D.MAIN: tags}), entity_rows(facts, cy, {D.MAIN: tags}))
 
-    def keyed(year: int) -> DataFrame:
-        rows = entity_rows(facts, year, {D.MAIN: tags}).withColumn(
-            "k", F.expr("coalesce(nullif(entity_code, ''), entity_name)"))
+
+def _entity_changes(old_rows: DataFrame, new_rows: DataFrame) -> DataFrame:
+    tags = ["CountryUnderWhoseLawsIncCd", "FunctionalCurrencyCd"]
+
+    def keyed(entities: DataFrame) -> DataFrame:
+        rows = entities.withColumn("k", F.expr("coalesce(nullif(entity_code, ''), entity_name)"))
         place = f"concat({field_text('m', f'{D.MAIN}_{tags[0]}')}, ' | ', {field_text('m', f'{D.MAIN}_{tags[1]}')})"
         return (rows.groupBy("return_id", "k")
                 .agg(F.expr(f"max_by(struct(entity_name, entity_code, {place} AS place), sub_no) AS x"))
                 .select("return_id", "k", "x.*"))
 
-    old, new = keyed(py), keyed(cy)
+    old, new = keyed(old_rows), keyed(new_rows)
 
     def rows(a: DataFrame, b: DataFrame, text: str, py_value, cy_value) -> DataFrame:
         return a.join(b, ["return_id", "k"], "left_anti").select(
@@ -245,11 +249,62 @@ def schg_changes(facts: DataFrame, py: int, cy: int) -> DataFrame:
             .withColumn("difference", F.lit(0.0)).withColumn("passes", F.lit(False)).select(*ITEM_COLUMNS))
 
 
+def _review_lines() -> list[tuple[str, str, float | None, list[str], list[Line]]]:
+    """(report, kind, limit, forms, lines) of the reports that compare matched pairs."""
+    page1 = [(d, ln, [f"{D.MAIN}_{f}"], [f"{D.MAIN}_{f}"]) for f, d, ln in D.PAGE1_FIELDS]
+    pools = [(d, "J", [f"{D.SCH_J}_{p}_{D.J_EOY}"], [f"{D.SCH_J}_{p}_{D.J_BOY}"]) for p, d in D.RULE_POOLS]
+    marks = [(d, ln, [f"{D.MAIN}_{D.SCH_G}_{f}"], [f"{D.MAIN}_{D.SCH_G}_{f}"]) for f, d, ln in D.INDICATOR_REPORT_FIELDS]
+
+    def moves(form: str, fields: list[tuple[str, str, str]]) -> list[Line]:
+        return [(d, ln, [f"{form}_{f}"], [f"{form}_{f}"]) for f, d, ln in fields]
+
+    return [(D.REPORTS[0], "balance", 1.0, [D.SCH_F, D.MAIN], _schf_lines()), (D.REPORTS[1], "balance", 1.0, [D.SCH_J, D.MAIN], pools),
+            (D.REPORTS[2], "same", None, [D.MAIN], page1), (D.REPORTS[3], "move", None, [D.SCH_H, D.MAIN], moves(D.SCH_H, D.EP_MOVEMENT_FIELDS)),
+            (D.REPORTS[4], "move", None, [D.SCH_I1, D.MAIN], moves(D.SCH_I1, D.GILTI_FIELDS)), (D.REPORTS[6], "mark", None, [D.MAIN], marks)]
+
+
 def full_review(facts: DataFrame, py: int, cy: int) -> DataFrame:
-    """The seven reports as one table."""
-    parts = [f(facts, py, cy) for f in (schf_rollover, schj_rollover, page1_rollover, ep_movement,
-                                        gilti_comparison, entity_changes, schg_changes)]
-    return reduce(DataFrame.unionByName, parts)
+    """The seven reports as one table, from one reading of each year and one match.
+
+    The entities of both years with all fields of all reports are stored, matched
+    once, and every report line is an element of one array per pair.  An entity
+    counts for a report if both sides file one of the report's forms.
+    """
+    reports = _review_lines()
+    sides: dict[int, Paths] = {py: {}, cy: {}}
+    for _, _, _, forms, lines in reports:
+        for year, at in ((py, 2), (cy, 3)):
+            for form in forms:
+                sides[year].setdefault(form, []).extend(
+                    x[len(form) + 1:] for ln in lines for x in ln[at] if x.startswith(f"{form}_"))
+    for wanted in sides.values():
+        wanted[D.MAIN] += ["CountryUnderWhoseLawsIncCd", "FunctionalCurrencyCd"]
+    path = shared_dir(facts.sparkSession, "review-entities")
+    for year, wanted in sides.items():
+        entity_rows(facts, year, wanted).write.parquet(f"{path}/year={year}")
+    stored = facts.sparkSession.read.parquet(path)
+    old, new = (stored.where(F.col("year") == y).drop("year") for y in (py, cy))
+
+    def cell(report: str, kind: str, limit: float | None, forms: list[str], line: Line) -> str:
+        d, ln, p, c = line
+        look = [", ".join(f"'{xs[i] if i < len(xs) else xs[0]}'" for i in range(2)) for xs in (p, c)]
+        return (f"struct({lit(report)} AS report, '{kind}' AS kind, {limit or 0.0}D AS most, array({', '.join(lit(f) for f in forms)}) AS forms,"
+                f" {lit(d)} AS description, {lit(ln)} AS line, array({look[0]}) AS pp, array({look[1]}) AS cc)")
+
+    cells = ", ".join(cell(r, k, m, f, ln) for r, k, m, f, lines in reports for ln in lines)
+    rows = match_entities(old, new).selectExpr("return_id", "entity_name", "entity_code", "p", "c", f"inline(array({cells}))")
+    rows = rows.where("exists(forms, f -> p[f] IS NOT NULL) AND exists(forms, f -> c[f] IS NOT NULL)")
+    value = "coalesce(nullif({m}[{a}[0]], ''), nullif({m}[{a}[1]], ''), '') AS {n}"
+    items = _some(rows.selectExpr("return_id", "report", "kind", "most", "entity_name", "entity_code", "description", "line",
+                                  value.format(m="p", a="pp", n="py_value"), value.format(m="c", a="cc", n="cy_value")))
+    items = _with_difference(items).where("kind <> 'mark' OR py_value <> cy_value")
+    kind = F.col("kind")
+    near = F.when(F.col("p_num").isNotNull() & F.col("c_num").isNotNull(), F.abs("difference") < F.col("most")).otherwise(F.col("py_value") == F.col("cy_value"))
+    passes = (F.when(kind == "balance", near).when(kind == "same", F.expr("upper(trim(py_value)) = upper(trim(cy_value))")).otherwise(kind == "move"))
+    dash = {c: F.when((kind == "mark") & (F.col(c) == ""), F.lit(DASH)).otherwise(F.col(c)) for c in ("py_value", "cy_value")}
+    items = items.withColumn("passes", passes).withColumn("difference", F.when(kind.isin("balance", "move"), F.col("difference")).otherwise(F.lit(0.0))).withColumns(dash)
+    mains = (side.where(F.col("m")[D.MAIN].isNotNull()) for side in (old, new))
+    return items.select(*ITEM_COLUMNS).unionByName(_entity_changes(*mains).select(*ITEM_COLUMNS))
 
 
 def rollover_summary(items: DataFrame) -> DataFrame:

@@ -122,6 +122,8 @@ def build_cells(base: DataFrame) -> DataFrame:
         ("2", "1", "(CASE WHEN bucket % 2 = 0 THEN 'FY1997 Compliance' ELSE 'Year ended 2097 draft' END)"),
         ("3", "1", "(CASE WHEN bucket % 3 = 0 THEN 'Revised FY98 copy' ELSE 'Forms 5471' END)")]))
     parts.append(_cells(books, f"concat('FS-', {book})", "'951A Summary'", [("1", "1", "'951A'")]))
+    parts.append(_cells(books, f"concat('FS-', {book})", f"'{W.FOREIGN_SUMMARY_SHEET}'", [
+        ("1", "1", "concat(seg, ' FOREIGN')"), ("2", "1", "(CASE WHEN bucket % 3 = 0 THEN 'Summary FY98' ELSE 'Summary for 2097 and 2098' END)")]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

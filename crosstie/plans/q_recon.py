@@ -318,10 +318,10 @@ def _sink_recon(spark, sf_dir):
 
 
 @query("sink_forms", "SELECT form, count(*) AS n, count(DISTINCT code) AS entities FROM facts"
-       " WHERE path <> form AND side = 'c' AND contains(code, '01') GROUP BY 1", facts=[])
+       " WHERE path <> form AND side = 'c' GROUP BY 1", facts=[])
 def _sink_forms(spark, sf_dir):
     path = shared_dir(spark, "forms")
-    S.write_forms(X.facts(spark, sf_dir, CY), path, "C.*01.*")
+    S.write_forms(X.facts(spark, sf_dir, CY), path)
     return spark.read.parquet(path).groupBy("form").agg(F.expr("count(*) AS n"), F.expr("count(DISTINCT entity_code) AS entities"))
 
 

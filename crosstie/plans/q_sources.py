@@ -182,9 +182,10 @@ def _profile(spark, sf_dir):
 
 
 @query("workbook_metadata", f"SELECT DISTINCT {I.BOOK} AS workbook_id, concat(seg, ' GROUP') AS client_name, CASE WHEN {I.BUCKET} % 3 = 0 THEN '98'"
-       f" WHEN {I.BUCKET} % 2 = 0 THEN '1997' ELSE '2097' END AS tax_year FROM cust")
+       f" WHEN {I.BUCKET} % 2 = 0 THEN '1997' ELSE '2097' END AS tax_year FROM cust UNION ALL SELECT DISTINCT concat('FS-', {I.BOOK}), concat(seg, ' FOREIGN'),"
+       f" CASE WHEN {I.BUCKET} % 3 = 0 THEN '' ELSE '2097' END FROM cust")
 def _metadata(spark, sf_dir):
-    return grid.workbook_metadata(I.grid_cells(spark, sf_dir)).where("NOT startswith(workbook_id, 'FS-')")
+    return grid.workbook_metadata(I.grid_cells(spark, sf_dir))
 
 
 @query("ep_adjustment_summary", f"SELECT {I.BOOK} AS workbook_id, CASE WHEN k % 40 = 0 THEN concat('SS', CAST(k AS STRING)) ELSE code END AS entity_code,"

@@ -167,21 +167,30 @@ def workbook_profile(cells: DataFrame) -> DataFrame:
 
 
 def workbook_metadata(cells: DataFrame) -> DataFrame:
-    """Client from the first cell of the first known sheet, year from the lines below."""
+    """Client from the first cell of the first known sheet, year from the lines below.
+
+    A workbook with a foreign summary is read from that sheet: its client is the
+    first cell, its year the first word of the second line that is a year of this
+    century.  A book with none of the known sheets, or with nothing in their first
+    lines, has blanks."""
     known = ["sch_h_fc", "sch_i1_fc", "entity_listing"]
-    order = {x: i * 10 + j for i, s in enumerate(known) for j, x in enumerate(W.SHEET_CANDIDATES[s])}
+    order = {W.FOREIGN_SUMMARY_SHEET: -1} | {x: i * 10 + j for i, s in enumerate(known) for j, x in enumerate(W.SHEET_CANDIDATES[s])}
     pref = "CASE sheet " + " ".join(f"WHEN {lit(x)} THEN {i}" for x, i in order.items()) + " END"
-    top = cells.where(F.col("sheet").isin(*order) & (F.col("col") == 1) & (F.col("row") <= 3) & F.col("value").isNotNull())
-    m = (top.groupBy("workbook_id", "sheet").agg(F.expr("map_from_entries(collect_list(struct(row, value))) AS m"))
-         .groupBy("workbook_id").agg(F.expr(f"min_by(struct(m[1] AS r1, m[2] AS r2, m[3] AS r3), {pref}) AS x")))
+    first = F.col("sheet").isin(*order)
+    # one row per sheet, its first lines or nothing
+    line = [F.max(F.when(first & (F.col("col") == 1) & (F.col("row") == i), F.col("value"))).alias(f"r{i}") for i in (1, 2, 3)]
+    sheets = cells.groupBy("workbook_id", "sheet").agg(*line)
+    filled = f"CASE WHEN sheet = {lit(W.FOREIGN_SUMMARY_SHEET)} OR r1 IS NOT NULL OR r2 IS NOT NULL OR r3 IS NOT NULL THEN {pref} END"
+    m = sheets.groupBy("workbook_id").agg(F.expr(f"min_by(struct(sheet, r1, r2, r3), {filled}) AS x"))
 
     def year(c: str):
         told = F.contains(F.upper(c), F.lit("FY")) | F.contains(c, F.lit("20"))
         return F.when(told, year_token(c))
 
+    century = F.get(F.filter(F.split("x.r2", r"\s+"), lambda w: w.startswith("20") & (F.length(w) == 4)), 0)
     # a year in the third row overwrites one in the second
-    return m.select("workbook_id", F.coalesce("x.r1", F.lit("")).alias("client_name"),
-                    F.coalesce(year("x.r3"), year("x.r2"), F.lit("")).alias("tax_year"))
+    told = F.when(F.col("x.sheet") == W.FOREIGN_SUMMARY_SHEET, century).otherwise(F.coalesce(year("x.r3"), year("x.r2")))
+    return m.select("workbook_id", F.coalesce("x.r1", F.lit("")).alias("client_name"), F.coalesce(told, F.lit("")).alias("tax_year"))
 
 
 def ep_adjustment_summary(cells: DataFrame) -> DataFrame:

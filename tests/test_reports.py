@@ -83,3 +83,34 @@ def test_lists_are_cut_within_each_return(make_facts):
         part = make_facts([(1997, i, f"C{i}", f"N{i}", {D.SCH_H: {ep: str(i)}}) for i in range(5)], return_id=r)
         facts = part if facts is None else facts.union(part)
     assert {r.return_id: r["count"] for r in RS.top_ep(facts, 1997, 3).groupBy("return_id").count().collect()} == {"R1": 3, "R2": 3}
+
+
+def test_full_review_is_the_seven_reports_in_one_match(make_facts):
+    end, begin = D.end_tag("Cash"), D.begin_tag("Cash")
+    pool = D.RULE_POOLS[0][0]
+    g = f"{D.SCH_G}_{D.INDICATOR_REPORT_FIELDS[0][0]}"
+    facts = make_facts([
+        (PY, 1, "C1", "Acme", {D.MAIN: {"FunctionalCurrencyCd": "EUR", "EIN": "1", g: "X", f"{D.SCH_F}_{end}": "7"}, D.SCH_F: {end: "10"}, D.SCH_H: {"TotalNetAdditionsAmt": "5"},
+                               D.SCH_J: [{f"{pool}_{D.J_EOY}": "3"}, {f"{pool}_{D.J_EOY}": "4"}], D.SCH_I1: {D.GILTI_FIELDS[0][0]: "9"}}),
+        (PY, 2, "", "Beta", {D.SCH_F: {end: "20"}}), (PY, 3, "C3", "Gone", {D.SCH_F: {end: "1"}}),
+        (CY, 1, "C1", "Old row", {D.SCH_F: {begin: "0"}}),
+        (CY, 2, "C1", "Acme", {D.MAIN: {"FunctionalCurrencyCd": "usd ", "EIN": " 1"}, D.SCH_F: {begin: "10.5"}, D.SCH_H: {"TotalNetAdditionsAmt": "8"},
+                               D.SCH_J: {f"{pool}_{D.J_BOY}": "4"}, D.SCH_I1: {D.GILTI_FIELDS[0][0]: ""}}),
+        (CY, 3, "C9", "BETA", {D.SCH_F: {begin: "x"}})])
+    parts = [f(facts, PY, CY) for f in (RO.schf_rollover, RO.schj_rollover, RO.page1_rollover, RO.ep_movement, RO.gilti_comparison, RO.entity_changes, RO.schg_changes)]
+    expected = sorted(str(r) for p in parts for r in p.collect())
+    whole = RO.full_review(facts, PY, CY)
+    assert sorted(str(r) for r in whole.collect()) == expected and len({r.report for r in whole.collect()}) == 7
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 8
+
+
+def test_metadata_of_both_kinds_of_books(spark):
+    from crosstie import workbook_dims as W
+    from crosstie.sources import grid
+
+    cells = [("A", "5471 Sch H", 1, 1, "Client A"), ("A", "5471 Sch H", 2, 1, "FY2024 x"), ("F", W.FOREIGN_SUMMARY_SHEET, 1, 1, "Client F"),
+             ("F", W.FOREIGN_SUMMARY_SHEET, 2, 1, "For the years 2023 and 2024"), ("G", W.FOREIGN_SUMMARY_SHEET, 5, 1, "FC1"), ("Z", "Other", 1, 1, "q")]
+    got = {r.workbook_id: (r.client_name, r.tax_year) for r in grid.workbook_metadata(
+        spark.createDataFrame(cells, "workbook_id string, sheet string, row int, col int, value string")).collect()}
+    assert got["A"][0] == "Client A" and got["F"] == ("Client F", "2023") and got["G"] == ("", "") and got["Z"] == ("", "")

@@ -101,8 +101,8 @@ def test_full_review_is_the_seven_reports_in_one_match(make_facts):
     expected = sorted(str(r) for p in parts for r in p.collect())
     whole = RO.full_review(facts, PY, CY)
     assert sorted(str(r) for r in whole.collect()) == expected and len({r.report for r in whole.collect()}) == 7
-    plan = whole._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") <= 8
+    plan = RO.full_review(facts, PY, CY)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 6
 
 
 def test_metadata_of_both_kinds_of_books(spark):

@@ -190,18 +190,22 @@ def _within_pivots(by_pivot: DataFrame, comps: DataFrame, percent: int, label: s
     A pair with q(a) + q(b) >= 0 is linked through the document of the largest
     q; every other pair must share a number of differences that follows from its
     q's.  So the differences are joined by their own prefixes, rarest first,
-    whose length depends on the band of the partner's q.
+    whose length depends on the band of the partner's q.  Bands double in width
+    below the largest q of the pivot, so their number is the logarithm of the
+    spread, and a document is indexed that many times at most.
     """
     unit = 100 + percent
-    band = F.floor(F.col("q") / unit).cast("int")
+    band = F.floor(F.log2(1 + (F.col("top") - F.col("q")) / unit)).cast("int")
     rows = by_pivot.join(comps, "id", "left").select("id", "pivot", "q", "d", F.coalesce("comp", "id").alias("comp"))
-    mixed = rows.groupBy("pivot").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.collect_set(band).alias("bands")).where("lo <> hi")
-    rows = saved(rows.join(mixed.select("pivot", "bands"), "pivot"), f"{label}-pivot-rows")
+    mixed = rows.groupBy("pivot").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("q").alias("low"), F.max("q").alias("top")).where("lo <> hi")
+    rows = saved(rows.join(mixed.select("pivot", "low", "top"), "pivot"), f"{label}-pivot-rows")
     each = rows.select("pivot", "id", F.explode("d").alias("h"))
     held = each.groupBy("pivot", "h").agg(F.count(F.lit(1)).alias("k")).where("k > 1")  # a difference of one document joins nothing
     ranked = each.join(held, ["pivot", "h"]).groupBy("pivot", "id").agg(F.sort_array(F.collect_list(F.struct("k", "h"))).alias("r"))
-    partner = rows.select("id", "pivot", "q", "comp", F.size("d").alias("m"), band.alias("own"), F.explode("bands").alias("other"))
-    least = F.greatest(F.lit(1), F.ceil(-(F.col("q") + unit * (F.col("other") + 1) - 1) / (2 * unit)).cast("int"))
+    last = F.floor(F.log2(1 + (F.col("top") - F.col("low")) / unit)).cast("int")
+    partner = rows.select("id", "pivot", "q", "top", "comp", F.size("d").alias("m"), band.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    largest = F.col("top") - unit * (F.pow(F.lit(2), F.col("other")) - 1)  # q of the band
+    least = F.greatest(F.lit(1), F.ceil(-(F.col("q") + largest) / (2 * unit)).cast("int"))
     # differences of one document come first in the order and are passed over
     length = F.col("m") - least + 1 - (F.col("m") - F.size("r"))
     entries = partner.join(ranked, ["pivot", "id"]).where((least <= F.col("m")) & (length > 0)).select(

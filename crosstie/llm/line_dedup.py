@@ -1,11 +1,13 @@
-"""Line dedup by windows of neighbouring segments.
+"""Line dedup by content-defined chunks of neighbouring segments.
 
 A text is cut into segments: its lines, inside a line the parts that end with
-punctuation, and long parts of those once more after words that their
-neighbours choose.  So every cut depends on the passage alone and not on what
-stands before it.  Every window of two segments is looked up; windows that occur
-again anywhere are compared byte by byte and removed from all but their first
-place.
+punctuation, and long parts of those once more after words (in scripts without
+blanks: characters) that their neighbours choose.  A rolling hash over the hashes
+of two neighbouring segments decides whether a chunk begins between them, so
+boundaries depend on the passage alone and not on what stands before it.  A
+chunk is looked up together with the segments that decided its two boundaries:
+these are the same wherever the boundaries are.  Chunks that occur again anywhere
+are compared byte by byte and removed from all but their first place.
 
 Everything is DataFrame expressions: no Python on the executors.
 """
@@ -15,42 +17,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crosstie.llm.common import let
+from crosstie.llm.common import let, saved
 
-#: a segment ends after a line feed or after punctuation and a blank; nothing is lost
-CUT = r"(?<=[.!?,;:] )|(?<=\n)"
-SEGMENT_ENDS = ("\n", ". ", "! ", "? ", ", ", "; ", ": ")
+#: a segment ends after a line feed, after punctuation and a blank, or after a full-width sign; nothing is lost
+CUT = r"(?<=[.!?,;:] )|(?<=[\n。！？])"
+SEGMENT_ENDS = ("\n", ". ", "! ", "? ", ", ", "; ", ": ", "。", "！", "？")
 SIGN = "\x00"
 #: segments of more characters are cut again, so that 50 words always hold several
-LONG_CHARS = 100
-#: of as many neighbouring words of a long segment one at least ends a piece
-PIECE_WORDS = 8
-#: segments of a window
-WINDOW = 2
-#: repeated windows that touch form a run; shorter runs stay
+LONG_CHARS = 60
+#: a chunk that a third of all documents hold is looked up in as many tasks
+SALTS = 16
+#: repeated chunks that touch form a run; shorter runs stay
 MIN_RUN_CHARS = 80
 
 
 def _pieces(segment: Column) -> Column:
-    """A long segment cut after the word with the smallest hash of every
-    ``PIECE_WORDS`` in a row: inside equal passages the same words are chosen."""
+    """A long segment cut after each word whose hash is smaller than those of the
+    two words on either side: inside equal passages the same words are chosen."""
 
-    def cut(ws: Column, h: Column) -> Column:
-        n = F.size(h)
+    def joined(ws: Column, ends: Column) -> Column:
+        return F.zip_with(F.concat(F.array(F.lit(0)), ends), F.concat(ends, F.array(F.size(ws))),
+                          lambda s, e: F.array_join(F.slice(ws, s + 1, e - s), ""))
 
+    def cut(ws: Column, h: Column) -> Column:
         def least(i: Column) -> Column:
-            return let(F.slice(h, i + 1, PIECE_WORDS), lambda near: (i + F.array_position(near, F.array_min(near))).cast("int"))
-
-        chosen = F.array_distinct(F.transform(F.sequence(F.lit(0), n - PIECE_WORDS), least))
-        ends = F.when(n > PIECE_WORDS, chosen).otherwise(F.array().cast("array<int>"))
+            x = F.get(h, i)
+            return (x < F.get(h, i - 2)) & (x < F.get(h, i - 1)) & (x <= F.get(h, i + 1)) & (x <= F.get(h, i + 2))
 
-        def joined(es: Column) -> Column:
-            return F.zip_with(F.concat(F.array(F.lit(0)), es), F.concat(es, F.array(n)),
-                              lambda s, e: F.array_join(F.slice(ws, s + 1, e - s), ""))
+        # words with fewer than two neighbours on a side are not chosen
+        inner = F.when(F.size(h) > 4, F.filter(F.sequence(F.lit(2), F.size(h) - 3), least)).otherwise(F.array().cast("array<int>"))
+        return let(F.transform(inner, lambda i: i + 1), lambda ends: joined(ws, ends))
 
-        return F.array_remove(let(ends, joined), "")
-
-    return let(F.split(segment, "(?<= )"), lambda ws: let(F.transform(ws, lambda w: F.xxhash64(w)), lambda h: cut(ws, h)))
+    # scripts without blanks take three bytes for a character; an empty pattern splits at each
+    blanks = F.split(F.replace(segment, F.lit(" "), F.lit(" " + SIGN)), SIGN)
+    ws = (F.when(F.octet_length(segment) >= 2 * F.length(segment), F.split(segment, ""))
+          .when(segment.contains(SIGN), F.split(segment, "(?<= )")).otherwise(blanks))
+    return let(ws, lambda ws: let(F.transform(ws, lambda w: F.xxhash64(w)), lambda h: cut(ws, h)))
 
 
 def _segments(text: Column) -> Column:
@@ -64,41 +66,75 @@ def _segments(text: Column) -> Column:
     return F.flatten(F.transform(parts, lambda x: F.when(F.length(x) > LONG_CHARS, _pieces(x)).otherwise(F.array(x))))
 
 
-def _windows(text: Column) -> Column:
-    """Hash of the window that begins at each segment but the last."""
+def _starts(h: Column) -> Column:
+    """First segment of each chunk, from the hashes of all segments: a place
+    between two segments is a boundary unless its rolling hash is the largest of
+    three, so of two neighbouring places one at least is a boundary."""
+
+    def boundary(r: Column, i: Column) -> Column:
+        return F.coalesce((F.get(r, i) <= F.get(r, i - 1)) | (F.get(r, i) <= F.get(r, i + 1)), F.lit(True))
+
+    def inner(r: Column) -> Column:
+        return F.filter(F.sequence(F.lit(1), F.size(r)), lambda i: boundary(r, i - 1))
+
+    rolling = F.transform(F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))), lambda x, i: F.xxhash64(F.get(h, i), x))
+    return F.concat(F.array(F.lit(0)), F.when(F.size(h) > 1, let(rolling, inner)).otherwise(F.array().cast("array<int>")))
+
+
+def _chunk(starts: Column, n: Column, i: Column) -> tuple[Column, Column]:
+    """First segment of chunk ``i`` and the one behind its last, with those that decided its boundaries."""
+    return F.greatest(F.get(starts, i) - 1, F.lit(0)), F.least(F.coalesce(F.get(starts, i + 1) + 1, n), n)
+
 
-    def of(h: Column) -> Column:
-        n = F.greatest(F.size(h) - 1, F.lit(0))
-        return F.zip_with(F.slice(h, 1, n), F.slice(h, 2, n), lambda x, y: F.xxhash64(x, y))
+def _hashes(segments: Column) -> Column:
+    return F.transform(segments, lambda x: F.xxhash64(x))
 
-    return let(F.transform(_segments(text), lambda x: F.xxhash64(x)), of)
 
+def _chunk_hashes(text: Column) -> Column:
+    """Hash of each chunk of a text."""
 
-def repeated_windows(texts: DataFrame) -> DataFrame:
-    """Windows that occur more than once, and which of their places come first.
+    def of(h: Column, starts: Column) -> Column:
+        def one(i: Column) -> Column:
+            s, e = _chunk(starts, F.size(h), i)
+            return F.xxhash64(F.slice(h, s + 1, e - s))
+
+        return F.transform(F.sequence(F.lit(0), F.size(starts) - 1), one)
+
+    return let(_hashes(_segments(text)), lambda h: let(_starts(h), lambda starts: of(h, starts)))
+
+
+def repeated_chunks(texts: DataFrame) -> DataFrame:
+    """Chunks that occur more than once, and which of their places come first.
 
     ``texts`` has ``id``, ``th`` (hash of the text), ``k`` (hash of both) and
-    ``text``.  Returns k, ``marks``, the first segments of the windows with a
-    repeated hash, and ``firsts``, an array of (id, th, s), the marks of that text
-    at which their bytes come first; at the others they come again.
-    First only hashes are counted, so a window that a third of all documents hold
-    is one row per map task; places of repeated hashes are gathered by document
-    (bounded by its length) and the bytes behind them are grouped, again after
-    map-side aggregation.  Joins on a window have nothing above them that keeps
-    Spark from splitting a large partition.
+    ``text``.  Returns k, ``marks``, the numbers of the chunks with a repeated
+    hash, and ``firsts``, an array of (id, th, i), the chunks of that text whose
+    bytes come first there; at the others they come again.
+    The hashes are computed once and written.  First they are only counted, so a chunk that a third of all documents hold
+    is one row per map task.  The look-up of repeated hashes is salted by the
+    document.  Places of repeated hashes are gathered by document (bounded by its
+    length) and the bytes behind them are grouped, again after map-side
+    aggregation.
     """
     # k stands in for id and th; bytes are compared, and first places given, under the true ones
-    windows = texts.select("k", F.posexplode(_windows(F.col("text"))).alias("s", "h"))
-    repeated = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    marks = windows.join(repeated, "h", "left_semi").groupBy("k").agg(F.array_distinct(F.collect_list("s")).alias("marks"))
-
-    def bytes_of(segments: Column) -> Column:
-        inside = F.filter("marks", lambda s: s + WINDOW <= F.size(segments))
-        return F.transform(inside, lambda s: F.struct(s.alias("s"), F.array_join(F.slice(segments, s + 1, WINDOW), "").alias("bytes")))
-
-    held = texts.join(marks, "k").select("k", "id", "th", F.inline(let(_segments(F.col("text")), bytes_of)))
-    first = held.groupBy("bytes").agg(F.min(F.struct("id", "th", "s", "k")).alias("first")).select("first.*")
-    firsts = first.groupBy("k").agg(F.collect_list(F.struct("id", "th", "s")).alias("firsts"))
+    hashed = saved(texts.select("k", _chunk_hashes(F.col("text")).alias("hashes")), "line-chunks")
+    chunks = hashed.select("k", F.posexplode("hashes").alias("i", "h"))
+    repeated = chunks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
+        "h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = chunks.withColumn("salt", F.pmod("k", F.lit(SALTS)).cast("int"))
+    marks = salted.join(repeated, ["h", "salt"], "left_semi").groupBy("k").agg(F.array_sort(F.collect_set("i")).alias("marks"))
+
+    def bytes_of(segments: Column, starts: Column) -> Column:
+        def one(i: Column) -> Column:
+            s, e = _chunk(starts, F.size(segments), i)
+            return F.struct(i.alias("i"), F.array_join(F.slice(segments, s + 1, e - s), "").alias("bytes"))
+
+        return F.transform(F.filter("marks", lambda i: i < F.size(starts)), one)
+
+    places = let(_segments(F.col("text")), lambda segments: let(_starts(_hashes(segments)), lambda starts: bytes_of(segments, starts)))
+    held = texts.join(marks, "k").select("k", "id", "th", F.inline(places))
+    first = held.groupBy("bytes").agg(F.min(F.struct("id", "th", "i", "k")).alias("first")).select("first.*")
+    firsts = first.groupBy("k").agg(F.collect_list(F.struct("id", "th", "i")).alias("firsts"))
     return marks.join(firsts, "k", "left")
 
 
@@ -107,44 +143,42 @@ def _cleaned(docs: DataFrame, min_run_chars: int, keep: list[str], text_col: str
     carried = [F.col(c).alias(f"__{i}") for i, c in enumerate(keep)]
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *carried)
     texts = base.where(F.col("text") != "").withColumn("th", F.xxhash64("text")).withColumn("k", F.xxhash64("id", "th"))
-    found = repeated_windows(texts)
+    found = repeated_chunks(texts)
     mine = F.filter(F.coalesce("firsts", F.array()), lambda x: x["id"].eqNullSafe(F.col("id")) & (x["th"] == F.col("th")))
-    again = F.array_except("marks", F.transform(mine, lambda x: x["s"]))
-    spans = F.transform(again, lambda s: F.struct(s.alias("s"), (s + WINDOW).alias("e")))
+    again = F.array_except("marks", F.transform(mine, lambda x: x["i"]))
     kept = F.struct(F.col("id").alias(id_col), *(F.col(f"__{i}").alias(c) for i, c in enumerate(keep))).alias("kept")
-    span_type = "array<struct<s:int,e:int>>"
-
-    def runs(sp: Column) -> Column:
-        """Spans in order, touching ones merged."""
 
-        def step(a: Column, x: Column) -> Column:
-            last = F.element_at(a, -1)
-            longer = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))
-            return F.when((F.size(a) > 0) & (F.get(a, F.size(a) - 1)["e"] >= x["s"]),
-                          F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(a, F.array(x)))
+    def runs(spans: Column) -> Column:
+        """Spans merged where they touch; they are in order of their starts and of their ends."""
+        first = F.filter(spans, lambda x, i: F.coalesce(F.get(spans, i - 1)["e"] < x["s"], F.lit(True)))
+        last = F.filter(spans, lambda x, i: F.coalesce(F.get(spans, i + 1)["s"] > x["e"], F.lit(True)))
+        return F.zip_with(first, last, lambda x, y: F.struct(x["s"].alias("s"), y["e"].alias("e")))
 
-        return F.aggregate(F.sort_array(sp), F.array().cast(span_type), step)
-
-    def cleaned(seg: Column) -> Column:
+    def cleaned(seg: Column, starts: Column) -> Column:
         def joined(s: Column, e: Column) -> Column:
             return F.array_join(F.slice(seg, s + 1, e - s), "")
 
+        def span(i: Column) -> Column:
+            s, e = _chunk(starts, F.size(seg), i)
+            return F.struct(s.alias("s"), e.alias("e"))
+
         def rebuilt(gone: Column) -> Column:
             # what stands between the removed runs
             stops = F.concat(F.transform(gone, lambda r: r["s"]), F.array(F.size(seg)))
-            starts = F.concat(F.array(F.lit(0)), F.transform(gone, lambda r: r["e"]))
-            kept = F.transform(F.arrays_zip(starts.alias("a"), stops.alias("b")), lambda z: joined(z["a"], z["b"]))
+            begins = F.concat(F.array(F.lit(0)), F.transform(gone, lambda r: r["e"]))
+            kept = F.zip_with(begins, stops, joined)
             return F.struct(F.array_join(kept, "").alias("clean_text"),
                             F.aggregate(gone, F.lit(0), lambda a, r: a + r["e"] - r["s"]).cast("long").alias("n_removed"))
 
-        inside = F.filter("spans", lambda x: x["e"] <= F.size(seg))
-        return let(F.filter(runs(inside), lambda r: F.length(joined(r["s"], r["e"])) >= min_run_chars), rebuilt)
+        spans = F.transform(F.filter("again", lambda i: i < F.size(starts)), span)
+        return let(F.filter(let(spans, runs), lambda r: F.length(joined(r["s"], r["e"])) >= min_run_chars), rebuilt)
 
     untouched = F.struct(F.col("text").alias("clean_text"), F.lit(0).cast("long").alias("n_removed"))
-    # joined by k alone, as the windows' bytes were: the texts are dealt once for both
-    with_spans = texts.join(found, "k", "left").withColumn("spans", spans)
-    result = F.when(F.coalesce(F.size("spans"), F.lit(0)) < 1, untouched).otherwise(let(_segments(F.col("text")), cleaned))
-    done = with_spans.select(kept, "text", F.inline(F.array(result)))
+    # joined by k alone, as the chunks' bytes were: the texts are dealt once for both
+    with_again = texts.join(found, "k", "left").withColumn("again", again)
+    changed = let(_segments(F.col("text")), lambda seg: let(_starts(_hashes(seg)), lambda starts: cleaned(seg, starts)))
+    result = F.when(F.coalesce(F.size("again"), F.lit(0)) < 1, untouched).otherwise(changed)
+    done = with_again.select(kept, "text", F.inline(F.array(result)))
     rest = base.where(F.col("text").isNull() | (F.col("text") == "")).select(
         kept, "text", F.col("text").alias("clean_text"), F.lit(0).cast("long").alias("n_removed"))
     return done, rest

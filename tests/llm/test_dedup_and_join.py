@@ -74,6 +74,62 @@ def test_every_repeated_passage_of_fifty_words_goes(spark, make_docs, punctuated
     assert whole.where("text <> joined").count() == 0
 
 
+def test_passages_of_scripts_without_blanks_go(spark, make_docs):
+    rng = random.Random(6)
+
+    def run(n, stops):
+        return "".join("。" if stops and rng.random() < 0.06 else chr(0x4E00 + rng.randrange(3000)) for _ in range(n))
+
+    for stops in (True, False):
+        passage = run(390, stops)
+        rows = [(i, run(200, stops) + passage + run(200, stops)) for i in range(4)]
+        got = {r.doc_id: r for r in L.dedup(make_docs(rows)).collect()}
+        assert got[0].chars_removed == 0
+        # all but the segments at which a passage meets what stands around it
+        assert all(0.7 * 390 < got[i].chars_removed <= 390 for i in (1, 2, 3)), [got[i].chars_removed for i in (1, 2, 3)]
+
+
+def test_segments_lose_nothing(spark, make_docs):
+    rows = ["\U0001F600\U0001F680" * 60, "e\u0301a " * 40, "a\x00b c" * 50, "\x00", "。！？" * 30, "\u0e01\u0e02" * 80, "x" * 500, "  " * 90, "漢字 kana " * 30]
+    whole = make_docs(list(enumerate(rows))).select("text", F.array_join(L._segments(F.col("text")), "").alias("joined"))
+    assert [r.joined for r in whole.collect()] == [r.text for r in whole.collect()]
+
+
+def brute_dedup(spark, make_docs, rows, min_run):
+    """Chunks cut by the operator's rule, then looked up, kept and removed in plain Python."""
+    cut = make_docs(rows).select("doc_id", L._segments(F.col("text")).alias("seg"), L._starts(L._hashes(L._segments(F.col("text")))).alias("starts"))
+    texts = sorted((r.doc_id, r.seg, r.starts) for r in cut.collect())
+    seen, out = set(), {}
+    for i, seg, starts in texts:
+        gone = [False] * len(seg)
+        for a, b in zip(starts, starts[1:] + [len(seg) + 1]):
+            s, e = max(a - 1, 0), min(b + 1, len(seg))
+            chunk = "".join(seg[s:e])
+            if chunk in seen:
+                gone[s:e] = [True] * (e - s)
+            seen.add(chunk)
+        left, at = "", 0
+        while at < len(seg):
+            end = at
+            while end < len(seg) and gone[end] == gone[at]:
+                end += 1
+            piece = "".join(seg[at:end])
+            left += "" if gone[at] and len(piece) >= min_run else piece
+            at = end
+        out[i] = left
+    return out
+
+
+@pytest.mark.parametrize("min_run", [1, 80])
+def test_dedup_equals_brute_force(spark, make_docs, min_run):
+    rng = random.Random(40 + min_run)
+    shared = [text(rng, n) for n in (1, 2, 4, 7)]
+    rows = [(i, "".join(rng.choice([text(rng, 2), rng.choice(shared)]) for _ in range(rng.randrange(1, 9)))) for i in range(60)]
+    rows += [(100, text(rng, 600) + shared[3] * 40), (101, "One, two. " * 300), (102, "One, two. " * 300)]
+    got = {r.doc_id: r.clean_text for r in L.dedup(make_docs(rows), min_run_chars=min_run).collect()}
+    assert got == brute_dedup(spark, make_docs, rows, min_run) and any(got[i] != t for i, t in rows)
+
+
 def test_dedup_edge_rows(spark, make_docs):
     rng = random.Random(1)
     t = text(rng, 12)

@@ -25,8 +25,8 @@ SEGMENT_ENDS = ("\n", ". ", "! ", "? ", ", ", "; ", ": ", "。", "！", "？")
 SIGN = "\x00"
 #: segments of more characters are cut again, so that 50 words always hold several
 LONG_CHARS = 60
-#: a chunk that a third of all documents hold is looked up in as many tasks
-SALTS = 16
+#: chunks with more than this share of all places are looked up by a broadcast, so there are fewer than its inverse
+HOT_SHARE = 1 / 1000
 #: repeated chunks that touch form a run; shorter runs stay
 MIN_RUN_CHARS = 80
 
@@ -81,60 +81,68 @@ def _starts(h: Column) -> Column:
     return F.concat(F.array(F.lit(0)), F.when(F.size(h) > 1, let(rolling, inner)).otherwise(F.array().cast("array<int>")))
 
 
-def _chunk(starts: Column, n: Column, i: Column) -> tuple[Column, Column]:
-    """First segment of chunk ``i`` and the one behind its last, with those that decided its boundaries."""
-    return F.greatest(F.get(starts, i) - 1, F.lit(0)), F.least(F.coalesce(F.get(starts, i + 1) + 1, n), n)
-
-
 def _hashes(segments: Column) -> Column:
     return F.transform(segments, lambda x: F.xxhash64(x))
 
 
-def _chunk_hashes(text: Column) -> Column:
-    """Hash of each chunk of a text."""
+#: a chunk has at most four segments: a place is its first segment times this, plus their number
+PLACE = 8
+
+
+def _chunks(text: Column) -> Column:
+    """Place and hash of each chunk of a text, with the segments that decided its boundaries."""
 
     def of(h: Column, starts: Column) -> Column:
         def one(i: Column) -> Column:
-            s, e = _chunk(starts, F.size(h), i)
-            return F.xxhash64(F.slice(h, s + 1, e - s))
+            s = F.greatest(F.get(starts, i) - 1, F.lit(0))
+            n = F.least(F.coalesce(F.get(starts, i + 1) + 1, F.size(h)), F.size(h)) - s
+            return F.struct((s * PLACE + n).alias("at"), F.xxhash64(F.slice(h, s + 1, n)).alias("h"))
 
         return F.transform(F.sequence(F.lit(0), F.size(starts) - 1), one)
 
     return let(_hashes(_segments(text)), lambda h: let(_starts(h), lambda starts: of(h, starts)))
 
 
+def _span(at: Column) -> tuple[Column, Column]:
+    """First segment of a place and the number of its segments."""
+    return F.floor(at / PLACE).cast("int"), F.pmod(at, F.lit(PLACE))
+
+
 def repeated_chunks(texts: DataFrame) -> DataFrame:
     """Chunks that occur more than once, and which of their places come first.
 
     ``texts`` has ``id``, ``th`` (hash of the text), ``k`` (hash of both) and
-    ``text``.  Returns k, ``marks``, the numbers of the chunks with a repeated
-    hash, and ``firsts``, an array of (id, th, i), the chunks of that text whose
+    ``text``.  Returns k, ``marks``, the places of the chunks with a repeated
+    hash, and ``firsts``, an array of (id, th, at), the chunks of that text whose
     bytes come first there; at the others they come again.
-    The hashes are computed once and written.  First they are only counted, so a chunk that a third of all documents hold
-    is one row per map task.  The look-up of repeated hashes is salted by the
-    document.  Places of repeated hashes are gathered by document (bounded by its
-    length) and the bytes behind them are grouped, again after map-side
-    aggregation.
+    The hashes are computed once and written.  First they are only counted, so a
+    chunk that a third of all documents hold is one row per map task.  The few
+    hashes with a large share of all places are looked up by a broadcast, so none
+    of the others can fill a task.  Places of repeated hashes are gathered by
+    document (bounded by its length) and the bytes behind them are grouped, again
+    after map-side aggregation.
     """
     # k stands in for id and th; bytes are compared, and first places given, under the true ones
-    hashed = saved(texts.select("k", _chunk_hashes(F.col("text")).alias("hashes")), "line-chunks")
-    chunks = hashed.select("k", F.posexplode("hashes").alias("i", "h"))
-    repeated = chunks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
-        "h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = chunks.withColumn("salt", F.pmod("k", F.lit(SALTS)).cast("int"))
-    marks = salted.join(repeated, ["h", "salt"], "left_semi").groupBy("k").agg(F.array_sort(F.collect_set("i")).alias("marks"))
-
-    def bytes_of(segments: Column, starts: Column) -> Column:
-        def one(i: Column) -> Column:
-            s, e = _chunk(starts, F.size(segments), i)
-            return F.struct(i.alias("i"), F.array_join(F.slice(segments, s + 1, e - s), "").alias("bytes"))
-
-        return F.transform(F.filter("marks", lambda i: i < F.size(starts)), one)
-
-    places = let(_segments(F.col("text")), lambda segments: let(_starts(_hashes(segments)), lambda starts: bytes_of(segments, starts)))
-    held = texts.join(marks, "k").select("k", "id", "th", F.inline(places))
-    first = held.groupBy("bytes").agg(F.min(F.struct("id", "th", "i", "k")).alias("first")).select("first.*")
-    firsts = first.groupBy("k").agg(F.collect_list(F.struct("id", "th", "i")).alias("firsts"))
+    hashed = saved(texts.select("k", _chunks(F.col("text")).alias("chunks")), "line-chunks")
+    chunks = hashed.select("k", F.inline("chunks"))
+    repeated = saved(chunks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "line-repeats")
+    total = repeated.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(repeated.where(F.col("n") > total * HOT_SHARE).select("h"))
+    others = chunks.join(hot, "h", "left_anti").join(repeated.select("h"), "h", "left_semi")
+    found = chunks.join(hot, "h", "left_semi").union(others)
+    marks = found.groupBy("k").agg(F.array_sort(F.collect_set("at")).alias("marks"))
+
+    def bytes_of(segments: Column) -> Column:
+        def one(at: Column) -> Column:
+            s, n = _span(at)
+            return F.struct(at.alias("at"), F.array_join(F.slice(segments, s + 1, n), "").alias("bytes"))
+
+        return F.transform("marks", one)
+
+    # the outer form, for Spark would compute the array again to leave out empty ones
+    held = texts.join(marks, "k").select("k", "id", "th", F.inline_outer(let(_segments(F.col("text")), bytes_of)))
+    first = held.groupBy("bytes").agg(F.min(F.struct("id", "th", "at", "k")).alias("first")).select("first.*")
+    firsts = first.groupBy("k").agg(F.collect_list(F.struct("id", "th", "at")).alias("firsts"))
     return marks.join(firsts, "k", "left")
 
 
@@ -145,7 +153,7 @@ def _cleaned(docs: DataFrame, min_run_chars: int, keep: list[str], text_col: str
     texts = base.where(F.col("text") != "").withColumn("th", F.xxhash64("text")).withColumn("k", F.xxhash64("id", "th"))
     found = repeated_chunks(texts)
     mine = F.filter(F.coalesce("firsts", F.array()), lambda x: x["id"].eqNullSafe(F.col("id")) & (x["th"] == F.col("th")))
-    again = F.array_except("marks", F.transform(mine, lambda x: x["i"]))
+    again = F.array_except("marks", F.transform(mine, lambda x: x["at"]))
     kept = F.struct(F.col("id").alias(id_col), *(F.col(f"__{i}").alias(c) for i, c in enumerate(keep))).alias("kept")
 
     def runs(spans: Column) -> Column:
@@ -154,13 +162,13 @@ def _cleaned(docs: DataFrame, min_run_chars: int, keep: list[str], text_col: str
         last = F.filter(spans, lambda x, i: F.coalesce(F.get(spans, i + 1)["s"] > x["e"], F.lit(True)))
         return F.zip_with(first, last, lambda x, y: F.struct(x["s"].alias("s"), y["e"].alias("e")))
 
-    def cleaned(seg: Column, starts: Column) -> Column:
+    def cleaned(seg: Column) -> Column:
         def joined(s: Column, e: Column) -> Column:
             return F.array_join(F.slice(seg, s + 1, e - s), "")
 
-        def span(i: Column) -> Column:
-            s, e = _chunk(starts, F.size(seg), i)
-            return F.struct(s.alias("s"), e.alias("e"))
+        def span(at: Column) -> Column:
+            s, n = _span(at)
+            return F.struct(s.alias("s"), (s + n).alias("e"))
 
         def rebuilt(gone: Column) -> Column:
             # what stands between the removed runs
@@ -170,14 +178,12 @@ def _cleaned(docs: DataFrame, min_run_chars: int, keep: list[str], text_col: str
             return F.struct(F.array_join(kept, "").alias("clean_text"),
                             F.aggregate(gone, F.lit(0), lambda a, r: a + r["e"] - r["s"]).cast("long").alias("n_removed"))
 
-        spans = F.transform(F.filter("again", lambda i: i < F.size(starts)), span)
-        return let(F.filter(let(spans, runs), lambda r: F.length(joined(r["s"], r["e"])) >= min_run_chars), rebuilt)
+        return let(F.filter(let(F.transform("again", span), runs), lambda r: F.length(joined(r["s"], r["e"])) >= min_run_chars), rebuilt)
 
     untouched = F.struct(F.col("text").alias("clean_text"), F.lit(0).cast("long").alias("n_removed"))
     # joined by k alone, as the chunks' bytes were: the texts are dealt once for both
     with_again = texts.join(found, "k", "left").withColumn("again", again)
-    changed = let(_segments(F.col("text")), lambda seg: let(_starts(_hashes(seg)), lambda starts: cleaned(seg, starts)))
-    result = F.when(F.coalesce(F.size("again"), F.lit(0)) < 1, untouched).otherwise(changed)
+    result = F.when(F.coalesce(F.size("again"), F.lit(0)) < 1, untouched).otherwise(let(_segments(F.col("text")), cleaned))
     done = with_again.select(kept, "text", F.inline(F.array(result)))
     rest = base.where(F.col("text").isNull() | (F.col("text") == "")).select(
         kept, "text", F.col("text").alias("clean_text"), F.lit(0).cast("long").alias("n_removed"))

@@ -1,9 +1,13 @@
 """Adapter from the given star-schema tables to tax-return facts.
 
-One customer plays one foreign entity, its market segment the filer group, its
-orders of 1996 the prior-year return and those of 1997 the current-year one.
-Amounts are whole numbers made from order lines; arithmetic on the customer key
-seeds the defects the rules look for.
+One customer plays one foreign entity.  Every two consecutive order years make a
+pair, and the customers of a market segment in one pair make a filer group
+(``seg``, named after the segment and the first year): orders of the first year
+are its prior-year return, those of the second its current-year one.  The two
+returns of all groups are filed under the same two tax years, ``PY`` and ``CY``,
+so one run reviews all pairs of all order years.  Amounts are whole numbers made
+from order lines; arithmetic on the customer key seeds the defects the rules
+look for.
 
 The expressions below are plain SQL texts that Spark and other engines read
 alike, so checks can rebuild the very same input.  ``{s}`` is the side: ``p``
@@ -23,6 +27,8 @@ from crosstie.schema import FACT_COLUMNS, FACT_PARTITIONS
 
 PY, CY = 1996, 1997
 SIDES = {"p": PY, "c": CY}
+#: first order years of the pairs; None means all, which timing alone narrows
+FIRST_YEARS: tuple[int, ...] | None = None
 
 
 def every(n: int, then: str, other: str = "0", rest: int = 0) -> str:
@@ -300,22 +306,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per customer with the amounts of both years, stored once."""
+    """One row per customer and pair of order years with the amounts of both, stored once."""
     return stored_table(spark, sf_dir, "customers", lambda: build_customers(spark, sf_dir))
 
 
 def facts(spark: SparkSession, sf_dir: str, *years: int) -> DataFrame:
-    """The stored facts table of both years, or of the given ones."""
+    """The stored facts table of both tax years, or of the given ones."""
     df = stored_table(spark, sf_dir, "facts", lambda: build_facts(customers(spark, sf_dir)), FACT_PARTITIONS)
     df = df.select(*FACT_COLUMNS)
     return df.where(F.col("tax_year").isin(*years)) if years else df
 
 
+_GROUP = "concat(seg, '_', CAST(pair AS STRING))"
+
+
+def _year_sides(years: DataFrame) -> DataFrame:
+    """Each order year as the sides it plays: ``pair`` (first year), ``y``, ``side``.
+    One row per calendar year and side, so the frame is small at any size."""
+    first = years.select(F.col("y").alias("pair")).join(years.select((F.col("y") - 1).alias("pair")), "pair")
+    if FIRST_YEARS is not None:
+        first = first.where(F.col("pair").isin(*FIRST_YEARS))
+    return first.selectExpr("pair", "inline(array(struct(pair AS y, 'p' AS side), struct(pair + 1 AS y, 'c' AS side)))")
+
+
 def build_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where(
-        (F.col("o_orderdate") >= F.lit(f"{PY}-01-01").cast("timestamp"))
-        & (F.col("o_orderdate") < F.lit(f"{CY + 1}-01-01").cast("timestamp"))
-    ).select("o_orderkey", F.col("o_custkey").alias("k"), F.year("o_orderdate").alias("y"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("k"), F.year("o_orderdate").alias("y"))
+    o = o.join(F.broadcast(_year_sides(o.select("y").distinct())), "y").drop("y")
 
     def cents(c: str) -> Column:
         return F.round(F.col(c) * 100).cast("bigint")
@@ -326,9 +342,9 @@ def build_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").cast("bigint").alias("qty"), (F.col("l_returnflag") == "R").alias("ret"),
     )
     sums = []
-    for s, year in SIDES.items():
-        def total(x: Column, y: int = year) -> Column:
-            return F.coalesce(F.sum(F.when(F.col("y") == y, x)), F.lit(0)).cast("bigint")
+    for s in SIDES:
+        def total(x: Column, side: str = s) -> Column:
+            return F.coalesce(F.sum(F.when(F.col("side") == side, x)), F.lit(0)).cast("bigint")
 
         sums += [
             total(F.lit(1)).alias(f"n_{s}"),
@@ -338,7 +354,7 @@ def build_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
             total(F.col("pc") * F.col("tc")).alias(f"t_{s}"),
             total(F.col("qty")).alias(f"q_{s}"),
         ]
-    per_k = li.join(o, "o_orderkey").groupBy("k").agg(*sums)
+    per_k = li.join(o, "o_orderkey").groupBy("k", "pair").agg(*sums)
     scale = {"g": 100, "r": 100, "d": 10000, "t": 10000}
     per_k = per_k.withColumns({
         f"{n}_{s}": F.floor(F.col(f"{n}_{s}") / v).cast("bigint") for n, v in scale.items() for s in SIDES
@@ -349,7 +365,7 @@ def build_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     nation = table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").alias("nat"), F.col("n_regionkey").alias("region"))
-    out = per_k.join(cust, "k").join(nation, "nat")
+    out = per_k.join(cust, "k").join(nation, "nat").withColumn("seg", F.expr(_GROUP))
     for layer in LAYERS:
         out = out.selectExpr("*", *[f"{e} AS {n}" for n, e in layer])
     return out
@@ -387,21 +403,24 @@ def build_facts(base: DataFrame) -> DataFrame:
 def sql_customers() -> str:
     """CTE list ending in ``cust``; readable by any ANSI engine."""
     sums = []
-    for s, y in SIDES.items():
-        def total(x: str, y: int = y) -> str:
-            return f"CAST(COALESCE(SUM(CASE WHEN y = {y} THEN {x} END), 0) AS BIGINT)"
+    for s in SIDES:
+        def total(x: str, side: str = s) -> str:
+            return f"CAST(COALESCE(SUM(CASE WHEN side = '{side}' THEN {x} END), 0) AS BIGINT)"
 
         sums += [f"{total('1')} AS n_{s}", f"{total('pc')} AS g_{s}",
                  f"{total('CASE WHEN ret THEN pc END')} AS r_{s}", f"{total('pc * dc')} AS d_{s}",
                  f"{total('pc * tc')} AS t_{s}", f"{total('qty')} AS q_{s}"]
+    year = "CAST(EXTRACT(year FROM o_orderdate) AS INT)"
     ctes = [
-        "li AS (SELECT o_custkey AS k, CAST(EXTRACT(year FROM o_orderdate) AS INT) AS y,"
+        f"years AS (SELECT DISTINCT {year} AS y FROM orders)",
+        "sides AS (SELECT y AS pair, y, 'p' AS side FROM years WHERE y + 1 IN (SELECT y FROM years) UNION ALL"
+        " SELECT y - 1, y, 'c' FROM years WHERE y - 1 IN (SELECT y FROM years))",
+        "li AS (SELECT o_custkey AS k, pair, side,"
         " CAST(round(l_extendedprice * 100) AS BIGINT) AS pc, CAST(round(l_discount * 100) AS BIGINT) AS dc,"
         " CAST(round(l_tax * 100) AS BIGINT) AS tc, CAST(l_quantity AS BIGINT) AS qty, l_returnflag = 'R' AS ret"
-        " FROM orders JOIN lineitem ON l_orderkey = o_orderkey"
-        f" WHERE o_orderdate >= TIMESTAMP '{PY}-01-01' AND o_orderdate < TIMESTAMP '{CY + 1}-01-01')",
-        f"sums AS (SELECT k, {', '.join(sums)} FROM li GROUP BY k)",
-        "cust0 AS (SELECT k, c_name AS cname, c_mktsegment AS seg, c_nationkey AS nat, n_regionkey AS region, "
+        f" FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN sides ON sides.y = {year})",
+        f"sums AS (SELECT k, pair, {', '.join(sums)} FROM li GROUP BY k, pair)",
+        "cust0 AS (SELECT k, c_name AS cname, concat(c_mktsegment, '_', CAST(pair AS STRING)) AS seg, c_nationkey AS nat, n_regionkey AS region, "
         + ", ".join(f"n_{s}, q_{s}, " + ", ".join(
             f"CAST(floor({n}_{s} / {v}) AS BIGINT) AS {n}_{s}"
             for n, v in (("g", 100), ("r", 100), ("d", 10000), ("t", 10000))) for s in SIDES)

@@ -8,7 +8,7 @@ forms of the return itself are plain sums over the group, some of them off.
 An entity without orders files its holders and zeros.
 
 Expressions are SQL texts that Spark and other engines read alike, as in
-``fixture``.  Facts come from the customers of the current year.
+``fixture``.  Amounts are those of all current years of a customer together.
 """
 
 from __future__ import annotations
@@ -97,7 +97,7 @@ SUMS = {
 
 def build(spark: SparkSession, sf_dir: str) -> DataFrame:
     # an entity without amounts still has holders
-    amounts = X.customers(spark, sf_dir).where("n_c > 0").select("k", *AMOUNTS)
+    amounts = X.customers(spark, sf_dir).where("n_c > 0").groupBy("k").agg(*(F.sum(a).alias(a) for a in AMOUNTS))
     base = X.table(spark, sf_dir, "customer").selectExpr("CAST(c_custkey AS BIGINT) AS k").join(amounts, "k", "left").fillna(0, AMOUNTS)
     for name, text in ENTITY.items():
         base = base.withColumn(name, F.expr(text))
@@ -134,7 +134,8 @@ def sql() -> str:
         f"SELECT grp, {who} AS owner, {_code('slot')} AS owned, CAST({share} AS DOUBLE) AS share, {us} AS us FROM g0 WHERE {cond}"
         for _, cond, who, share, us in HOLDERS)
     return f"""{X.sql_customers()},
-gk AS (SELECT c_custkey AS k, {', '.join(f'coalesce({a}, 0) AS {a}' for a in AMOUNTS)} FROM customer LEFT JOIN cust ON k = c_custkey AND n_c > 0),
+gk AS (SELECT c_custkey AS k, {', '.join(f'coalesce({a}, 0) AS {a}' for a in AMOUNTS)} FROM customer LEFT JOIN
+  (SELECT k, {', '.join(f'CAST(sum({a}) AS BIGINT) AS {a}' for a in AMOUNTS)} FROM cust WHERE n_c > 0 GROUP BY k) ON k = c_custkey),
 g00 AS (SELECT *, {entity} FROM gk),
 below AS (SELECT grp, CAST({_UP} AS BIGINT) AS slot, CAST(sum(least(paid, t_c * 3)) AS BIGINT) AS below FROM g00 WHERE slot > 0 GROUP BY 1, 2),
 g0 AS (SELECT g00.*, coalesce(below.below, 0) AS below FROM g00 LEFT JOIN below ON below.grp = g00.grp AND below.slot = g00.slot),

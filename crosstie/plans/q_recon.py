@@ -97,7 +97,7 @@ def _topk_failures(spark, sf_dir):
 
 
 @query("reconcile_wb_missing", "SELECT c.seg AS return_id, s.schedule, c.code AS entity_code, 'WB_MISSING' AS status FROM cust c, (VALUES "
-       + ", ".join(f"('{s}')" for s in D.RECON_SCHEDULES) + f") s(schedule) WHERE c.n_c > 0 AND c.k NOT IN (SELECT k FROM {_LISTED}) AND CASE s.schedule "
+       + ", ".join(f"('{s}')" for s in D.RECON_SCHEDULES) + f") s(schedule) WHERE c.n_c > 0 AND (c.seg, c.k) NOT IN (SELECT (seg, k) FROM {_LISTED}) AND CASE s.schedule "
        + " ".join(f"WHEN '{s}' THEN {c}" for s, c in _FILED.items()) + " END")
 def _wb_missing(spark, sf_dir):
     return RC.workbook_missing(_wb_facts(spark, sf_dir), X.facts(spark, sf_dir), CY)
@@ -152,14 +152,14 @@ _POOL_SUM = {p: " + ".join(_COL[c] for c in cols) for p, cols in D.POOL_BALANCE_
 _TOTALS = "totals AS (" + " UNION ALL ".join(
     f"SELECT seg, k, code, basket_name, '{p}' AS pool, sum({x}) AS total FROM export GROUP BY 1, 2, 3, 4" for p, x in _POOL_SUM.items()) + ")"
 _OLD = "old AS (" + " UNION ALL ".join(
-    f"SELECT k, basket_name, '{p}' AS pool, {_COL[D.POOL_IMPORT_COLUMN[p]]} AS old_value FROM export WHERE kind IN ('new', 'passive')" for p in D.POOL_IMPORT_COLUMN) + ")"
+    f"SELECT seg, k, basket_name, '{p}' AS pool, {_COL[D.POOL_IMPORT_COLUMN[p]]} AS old_value FROM export WHERE kind IN ('new', 'passive')" for p in D.POOL_IMPORT_COLUMN) + ")"
 # names that resolve: same name on both sides; the others have no similar partner
 _WANTED = "wanted AS (SELECT t.* FROM targets t WHERE k % 33 <> 0 AND k % 13 <> 0)"
 _LOG = ("adj AS (SELECT w.seg AS return_id, w.k, w.code AS entity_number, w.xml_name AS name, w.basket_name, w.pool, CASE w.pool "
         + " ".join(f"WHEN '{p}' THEN '{c}'" for p, c in D.POOL_IMPORT_COLUMN.items())
         + " END AS column_adjusted, COALESCE(o.old_value, 0) AS old_value, w.target - COALESCE(t.total, 0) AS delta, COALESCE(o.old_value, 0) + w.target - COALESCE(t.total, 0) AS new_value, w.target"
-          " FROM wanted w LEFT JOIN totals t ON t.k = w.k AND t.basket_name = w.basket_name AND t.pool = w.pool"
-          " LEFT JOIN old o ON o.k = w.k AND o.basket_name = w.basket_name AND o.pool = w.pool WHERE abs(w.target - COALESCE(t.total, 0)) >= 0.5)")
+          " FROM wanted w LEFT JOIN totals t ON t.seg = w.seg AND t.k = w.k AND t.basket_name = w.basket_name AND t.pool = w.pool"
+          " LEFT JOIN old o ON o.seg = w.seg AND o.k = w.k AND o.basket_name = w.basket_name AND o.pool = w.pool WHERE abs(w.target - COALESCE(t.total, 0)) >= 0.5)")
 _ADJ = ",\n".join([EXPORT, TARGETS, _TOTALS, _OLD, _WANTED, _LOG])
 
 
@@ -207,7 +207,7 @@ def _log(spark, sf_dir):
 
 _LAYER_COLS = "entity_number, basket_name, tax_year, activity_type"
 _NEW_LAYER = ("(SELECT DISTINCT w.seg AS return_id, w.k, w.code AS entity_number, w.basket_name, 1996 AS tax_year, 'EarningsProfitTaxes' AS activity_type FROM wanted w"
-              " WHERE NOT EXISTS (SELECT 1 FROM export e WHERE e.k = w.k AND e.basket_name = w.basket_name AND e.kind IN ('new', 'passive')))")
+              " WHERE NOT EXISTS (SELECT 1 FROM export e WHERE e.seg = w.seg AND e.k = w.k AND e.basket_name = w.basket_name AND e.kind IN ('new', 'passive')))")
 
 
 @query("create_missing_layer", f"SELECT return_id, {_LAYER_COLS}, CASE WHEN basket_name = '3-Passive Income' THEN '3' ELSE '21' END AS basket_number, '01/01/1996' AS tax_year_begin,"
@@ -221,11 +221,12 @@ def _missing_layer(spark, sf_dir):
 
 def _adjusted_sql() -> str:
     sums = {p: _COL[D.POOL_IMPORT_COLUMN[p]] for p in D.POOL_IMPORT_COLUMN}
-    deltas = ", ".join(f"COALESCE((SELECT sum(delta) FROM adj WHERE adj.k = e.k AND adj.basket_name = e.basket_name AND adj.pool = '{p}'), 0) AS d_{i}" for i, p in enumerate(sums))
+    def deltas(g: str) -> str:
+        return ", ".join(f"COALESCE((SELECT sum(delta) FROM adj WHERE adj.return_id = e.{g} AND adj.k = e.k AND adj.basket_name = e.basket_name AND adj.pool = '{p}'), 0) AS d_{i}" for i, p in enumerate(sums))
     kept = ", ".join(f"{c} + CASE WHEN kind IN ('new', 'passive') THEN d_{i} ELSE 0 END AS {c}" for i, c in enumerate(sums.values()))
     made = ", ".join(f"d_{i} AS {c}" for i, c in enumerate(sums.values()))
-    return (f"SELECT seg AS return_id, code AS entity_number, basket_name, tax_year, activity_type, {kept} FROM (SELECT e.*, {deltas} FROM export e)"
-            f" UNION ALL SELECT return_id, entity_number, basket_name, tax_year, activity_type, {made} FROM (SELECT e.*, {deltas} FROM {_NEW_LAYER} e)")
+    return (f"SELECT seg AS return_id, code AS entity_number, basket_name, tax_year, activity_type, {kept} FROM (SELECT e.*, {deltas('seg')} FROM export e)"
+            f" UNION ALL SELECT return_id, entity_number, basket_name, tax_year, activity_type, {made} FROM (SELECT e.*, {deltas('return_id')} FROM {_NEW_LAYER} e)")
 
 
 @query("beginning_balance_adjust", _adjusted_sql(), ctes=_ADJ)

@@ -186,7 +186,7 @@ _ALL = " UNION ALL ".join(RULE_SQL[i] for i in RULES if i in RULE_SQL)
 _ONE_YEAR = " UNION ALL ".join(RULE_SQL[i] for i in RULES if i in RULE_SQL and not i.startswith("ROL"))
 FOUND = ENTITY + f",\nfound AS ({_ALL}), cat AS (SELECT *, CASE left(check_id, 3) WHEN 'FLO' THEN 'flow' WHEN 'CMP' THEN" \
     " 'completeness' WHEN 'RSN' THEN 'reasonableness' ELSE 'rollover' END AS category FROM found)"
-_NAMED = "COALESCE((SELECT CASE WHEN n_c > 0 THEN name_c ELSE name_p END FROM cust WHERE code = entity_code), '(all entities)')"
+_NAMED = "COALESCE((SELECT CASE WHEN n_c > 0 THEN name_c ELSE name_p END FROM cust WHERE seg = return_id AND code = entity_code), '(all entities)')"
 
 
 def full(spark: SparkSession, sf_dir: str) -> DataFrame:

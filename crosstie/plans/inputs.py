@@ -13,11 +13,12 @@ from pyspark.sql import types as T
 
 from crosstie import dims as D
 from crosstie import workbook_dims as W
+from crosstie.operators import attribution as A
 from crosstie.operators.reshape import quote
 from crosstie.plans import fixture as X
 from crosstie.plans.fixture import every
 from crosstie.plans.store import stored_path, stored_table
-from crosstie.sources.xml import Ingested, discover_schema, ingest, ingested
+from crosstie.sources.xml import Ingested, discover_return_forms, discover_schema, ingest, ingested
 
 SLOTS = 200
 BUCKET, SLOT = f"CAST(floor(k / {SLOTS}) AS INT)", f"CAST(k % {SLOTS} AS INT)"
@@ -256,17 +257,53 @@ def _subsidiary_xml(side: str) -> str:
     return f"to_xml(named_struct('ReturnHeader', {head}, 'ReturnData', named_struct({', '.join(forms)})), map('rowTag', 'SubsidiaryReturn'))"
 
 
+def _filed(path: str, side: str) -> str:
+    """Whole amount that an entity files under a path, zero where it files none."""
+    text = next(getattr(f, side) for f in X.FACT_SPECS if f.full_path == path and f.instance == 1)
+    return f"COALESCE(CAST({text} AS BIGINT), 0)"
+
+
+def form_amounts(side: str) -> dict[str, str]:
+    """SQL amounts of an entity whose sums over a document its own forms report."""
+    tested = _filed(A.TESTED_INCOME, side)
+    return {"income": f"greatest({tested}, 0)", "all_tested": tested, "qb": _filed(A.QBAI, side), "tax": _filed(A.TAX, side),
+            "elig": _filed(f"{D.SCH_I1}_GrossIncomeLessTotIncmExclAmt", side)}
+
+
+#: form of the return, instance, basket, tag, SQL text over the sums of a document and its bucket; some are off
+RETURN_FORMS = (
+    (A.FORM_8992, 1, "", "TestedIncomeAmt", "income + CASE WHEN bucket % 4 = 1 THEN 500 ELSE 0 END"),
+    (A.FORM_8992, 1, "", "QBAIAmt", "qb"),
+    (A.FORM_8992, 1, "", "GILTIAmt", "all_tested"),
+    (A.FORM_8993, 1, "", "ForeignDerivedDeductionEligibleIncomeAmt", "elig - CASE WHEN bucket % 6 = 0 THEN 70 ELSE 0 END"),
+    (A.FORM_1118, 1, "", "ForeignTaxesAmt", "tax"),
+    (A.FORM_1118, 2, "PAS", "ForeignTaxesAmt", "CASE WHEN bucket % 2 = 0 THEN 9 ELSE 0 END"),
+)
+
+
+def _own_forms_xml() -> str:
+    parts = []
+    for form, i in dict.fromkeys((f, i) for f, i, *_ in RETURN_FORMS):
+        mine = [x for x in RETURN_FORMS if x[:2] == (form, i)]
+        basket = f"<SeparateCategoryCd>{mine[0][2]}</SeparateCategoryCd>" if mine[0][2] else ""
+        tags = ", ".join(f"'<{t}>', {v}, '</{t}>'" for *_, t, v in mine)
+        parts.append(f"'<{form}>{basket}', {tags}, '</{form}>'")
+    return f"concat({', '.join(parts)})"
+
+
 def write_documents(base: DataFrame, path: str) -> None:
-    """One XML file per return of at most 200 entities."""
+    """One XML file per return of at most 200 entities, with the forms of the return itself."""
     parts = None
     for side, year in X.SIDES.items():
-        rows = base.where(f"n_{side} > 0").selectExpr(f"{year} AS ty", f"{BOOK} AS doc", "seg", "k", f"{_subsidiary_xml(side)} AS xml")
+        rows = base.where(f"n_{side} > 0").selectExpr(f"{year} AS ty", f"{BOOK} AS doc", "seg", f"{BUCKET} AS bucket", "k", f"{_subsidiary_xml(side)} AS xml",
+            *(f"{v} AS {n}" for n, v in form_amounts(side).items()))
         parts = rows if parts is None else parts.unionByName(rows)
-    docs = parts.groupBy("ty", "doc", "seg").agg(F.expr("array_sort(collect_list(struct(k, xml))) AS subs"))
+    docs = parts.groupBy("ty", "doc", "seg", "bucket").agg(
+        F.expr("array_sort(collect_list(struct(k, xml))) AS subs"), *(F.sum(n).alias(n) for n in form_amounts("p")))
     text = ("concat('<?xml version=\"1.0\"?>\n<Return xmlns=\"http://www.irs.gov/efile\"><ReturnHeader subsidiaryReturnCount=\"', size(subs),"
             " '\"><ReturnTs>', ty + 1, '-10-15</ReturnTs><TaxPeriodEndDt>', ty, '-12-31</TaxPeriodEndDt><ReturnTypeCd>1120</ReturnTypeCd>"
             "<Filer><EIN>', doc, '</EIN><BusinessName><BusinessNameLine1Txt>', seg, ' GROUP</BusinessNameLine1Txt></BusinessName></Filer>"
-            "<TaxYr>', ty, '</TaxYr></ReturnHeader><ReturnData>', array_join(transform(subs, s -> s.xml), '\n'), '</ReturnData></Return>') AS value")
+            f"<TaxYr>', ty, '</TaxYr></ReturnHeader><ReturnData>', {_own_forms_xml()}, array_join(transform(subs, s -> s.xml), '\n'), '</ReturnData></Return>') AS value")
     docs.selectExpr("ty", "doc", text).write.partitionBy("ty", "doc").text(path)
 
 
@@ -288,7 +325,11 @@ def document_schema(spark: SparkSession, sf_dir: str) -> T.StructType:
 def documents(spark: SparkSession, sf_dir: str) -> Ingested:
     """The documents' records, read in one pass and stored once per application."""
     path, schema = document_path(spark, sf_dir), document_schema(spark, sf_dir)
-    return ingested(spark, stored_path(spark, sf_dir, "ingested", lambda out: ingest(spark, path, schema, out)))
+
+    def write(out: str) -> None:
+        ingest(spark, path, schema, out, discover_return_forms(spark, path, (A.FORM_8992, A.FORM_8993, A.FORM_1118)))
+
+    return ingested(spark, stored_path(spark, sf_dir, "ingested", write))
 
 
 #: elements that the narrow schema of the damaged documents leaves out

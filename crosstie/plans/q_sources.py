@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from crosstie import dims as D
 from crosstie import workbook_dims as W
+from crosstie.operators import attribution as A
 from crosstie.operators import corrections as C
 from crosstie.operators import forms as FV
 from crosstie.operators import reshape as RS
@@ -78,6 +79,37 @@ def _flatten(spark, sf_dir):
     return rows.select("return_id", "tax_year", "entity_code", "form", "basket", "path", "value", "is_blank")
 
 
+def _own_forms_sql() -> str:
+    """Forms of the returns themselves: filer, y, form, instance, basket, path, value; and the sums they are made from."""
+    sums = " UNION ALL ".join(
+        f"SELECT {_DOC} AS filer, {y} AS y, {I.BUCKET} AS bucket, " + ", ".join(f"CAST(sum({v}) AS BIGINT) AS {n}" for n, v in I.form_amounts(s).items())
+        + f" FROM cust WHERE n_{s} > 0 GROUP BY ALL" for s, y in X.SIDES.items())
+    items = ", ".join(f"{{'form': '{f}', 'instance': {i}, 'basket': '{b}', 'path': '{f}_{t}', 'value': CAST({v} AS VARCHAR)}}" for f, i, b, t, v in I.RETURN_FORMS)
+    return f"doc_sums AS ({sums}), own AS (SELECT filer, y, unnest([{items}], recursive := true) FROM doc_sums)"
+
+
+OWN_FORMS = _own_forms_sql()
+
+
+@query("return_forms", "SELECT filer AS return_id, y AS tax_year, form, instance, basket, path, value FROM own", ctes=OWN_FORMS)
+def _return_forms(spark, sf_dir):
+    rows = I.documents(spark, sf_dir).return_facts().where("path <> form AND NOT endswith(path, '_SeparateCategoryCd')")
+    return rows.select("return_id", "tax_year", "form", "instance", "basket", "path", "value")
+
+
+#: check -> sum of the entities
+_OWN_SUM = {"8992 tested income": "income", "8993 eligible income": "elig", "1118 taxes by basket": "tax", "951A inclusion": "all_tested"}
+
+
+@query("document_form_totals", "SELECT return_id, tax_year, \"check\", basket, entities, reported, reported - entities AS difference, abs(reported - entities) <= 1 AS passes FROM ("
+       + " UNION ALL ".join(
+           f"SELECT filer AS return_id, own.y AS tax_year, '{c}' AS \"check\", basket, CASE WHEN basket = '' THEN CAST({_OWN_SUM[c]} AS DOUBLE) ELSE 0 END AS entities,"
+           f" CAST(value AS DOUBLE) AS reported FROM own JOIN doc_sums USING (filer, y) WHERE y = {CY} AND path = '{r}'" for c, _, _, r, _ in A.TOTALS) + ")", ctes=OWN_FORMS)
+def _document_totals(spark, sf_dir):
+    docs = I.documents(spark, sf_dir)
+    return A.cross_form_totals(docs.facts().unionByName(docs.return_facts()), CY)
+
+
 _DAMAGED = f"(SELECT *, {I.BUCKET} AS bucket FROM {_SIDES})"
 
 

@@ -33,7 +33,7 @@ def main() -> None:
     spark = local_session(cpus, "crosstie-bench")
     inputs_sec = {}
     for name, build in (("facts", fixture.facts), ("grid_cells", inputs.grid_cells), ("documents", inputs.document_path),
-                        ("document_schema", inputs.document_schema)):
+                        ("document_schema", inputs.document_schema), ("return_form_schema", inputs.return_form_schema)):
         start = time.perf_counter()
         build(spark, sf_dir)
         inputs_sec[name] = round(time.perf_counter() - start, 3)

@@ -322,14 +322,19 @@ def document_schema(spark: SparkSession, sf_dir: str) -> T.StructType:
     return _SCHEMAS[path]
 
 
-def documents(spark: SparkSession, sf_dir: str) -> Ingested:
-    """The documents' records, read in one pass and stored once per application."""
-    path, schema = document_path(spark, sf_dir), document_schema(spark, sf_dir)
+def return_form_schema(spark: SparkSession, sf_dir: str) -> T.StructType:
+    """Schema of the forms of the returns themselves, discovered once per application."""
+    path = document_path(spark, sf_dir)
+    key = f"{path}#forms"
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = discover_return_forms(spark, path, (A.FORM_8992, A.FORM_8993, A.FORM_1118))
+    return _SCHEMAS[key]
 
-    def write(out: str) -> None:
-        ingest(spark, path, schema, out, discover_return_forms(spark, path, (A.FORM_8992, A.FORM_8993, A.FORM_1118)))
 
-    return ingested(spark, stored_path(spark, sf_dir, "ingested", write))
+def documents(spark: SparkSession, sf_dir: str) -> Ingested:
+    """The documents' records, read in one pass and stored once per application."""
+    path, schema, forms = document_path(spark, sf_dir), document_schema(spark, sf_dir), return_form_schema(spark, sf_dir)
+    return ingested(spark, stored_path(spark, sf_dir, "ingested", lambda out: ingest(spark, path, schema, out, forms)))
 
 
 #: elements that the narrow schema of the damaged documents leaves out

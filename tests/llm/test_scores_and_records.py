@@ -355,7 +355,7 @@ def test_queries_agree_with_sql(spark, name):
     assert sum(got.values()) > 0 or name == "op8_decontaminate"
     if name in ORACLES:
         con = duckdb.connect()
-        for t in ("documents", "pages", "benchmark", "labels"):
+        for t in ("documents", "pages", "benchmark", "labels", "conversations", "embeddings"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
         res = con.execute(ORACLES[name])
         names = [x[0] for x in res.description]

@@ -74,26 +74,48 @@ def spare(n: int, percent: int) -> int:
     return n - -(-n * percent // 100)
 
 
+def least_shared(n: int, percent: int) -> int:
+    """Elements that the heads of a set of n and of any similar set share.
+
+    Sets of a and b elements are similar if they share ``o`` = percent * (a + b) /
+    (100 + percent), rounded up.  The one whose head ends first lacks a - o of its
+    elements at most, and the other's head holds all the rest of that head.
+    """
+
+    def head(k: int) -> int:
+        m = spare(k, percent)
+        return min(k, m + m // 2 + 1)
+
+    def of(b: int) -> int:
+        o = -(-percent * (n + b) // (100 + percent))
+        return min(head(n) - n, head(b) - b) + o
+
+    return min(map(of, range(-(-n * percent // 100), n * 100 // percent + 1)))
+
+
 def _trim(words: dict, most: int = 1_000_000) -> None:
     if len(words) > most:
         words.clear()
 
 
 def _heads(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Size, digest and head (twice the spare elements, and one) of every set."""
+    """Size, digest and head of every set, and the elements that it shares at least
+    with the head of a similar one."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        words = _WordHashes()
+        words, shared = _WordHashes(), {}
         for texts_ in batches:
             out = []
             for t in texts_:
                 u = shingle_hashes(t, size, words)
                 m = spare(u.size, percent)
-                out.append((u.size, hashlib.blake2b(u.tobytes(), digest_size=16).digest(), u[:m + m // 2 + 1].tolist() if u.size else []))
+                if u.size not in shared:
+                    shared[u.size] = least_shared(u.size, percent) if u.size else 0
+                out.append((u.size, hashlib.blake2b(u.tobytes(), digest_size=16).digest(), u[:m + m // 2 + 1].tolist() if u.size else [], shared[u.size]))
                 _trim(words)
-            yield pd.DataFrame(out, columns=["n", "sig", "head"])
+            yield pd.DataFrame(out, columns=["n", "sig", "head", "shared"])
 
-    made = F.pandas_udf(run, "n int, sig binary, head array<bigint>")
+    made = F.pandas_udf(run, "n int, sig binary, head array<bigint>, shared int")
     return texts.select("id", made("text").alias("m")).select("id", "m.*")
 
 
@@ -111,6 +133,12 @@ def _spare(n: Column, percent: int) -> Column:
     return n - F.ceil(n * percent / 100).cast("int")
 
 
+def _heads_share(na: Column, nb: Column, ha: Column, hb: Column, percent: int) -> Column:
+    """Elements that the heads, of ``ha`` and ``hb`` elements, of two similar sets share at least (see ``least_shared``)."""
+    overlap = F.ceil(percent * (na + nb) / (100 + percent)).cast("int")
+    return F.least(ha - na, hb - nb) + overlap
+
+
 def _fits(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
@@ -144,16 +172,19 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     return comp
 
 
-def _verified(pairs: DataFrame, heads: DataFrame, texts: DataFrame, size: int, percent: int, label: str) -> tuple[DataFrame, ...]:
+def _verified(pairs: DataFrame, heads: DataFrame, texts: DataFrame, size: int, percent: int, label: str,
+              wide: bool = False) -> tuple[DataFrame, ...]:
     """Pairs (a, b) whose sets are similar: heads first, then the whole sets.
-    Also the pairs whose heads agree, and the sets of their documents.
+    Also the pairs whose heads agree, and the sets of their documents; ``wide``
+    asks less of the heads, so that more documents come near one another.
 
     The set whose head ends first has its whole head below that end, and lacks
-    at most its spare elements, so the heads must share the rest.
+    few of its elements in a similar set, so the heads must share the rest.
     """
     one = heads.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("head").alias("ha"))
     two = heads.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("head").alias("hb"))
-    least = F.least(F.size("ha") - _spare(F.col("na"), percent), F.size("hb") - _spare(F.col("nb"), percent))
+    least = (F.least(F.size("ha") - _spare(F.col("na"), percent), F.size("hb") - _spare(F.col("nb"), percent)) if wide
+             else _heads_share(F.col("na"), F.col("nb"), F.size("ha"), F.size("hb"), percent))
     near = pairs.join(one, "a").join(two, "b").where(_fits(F.col("na"), F.col("nb"), percent)).where(
         F.size(F.array_intersect("ha", "hb")) >= least).select("a", "b")
     near = saved(near, f"{label}-near")
@@ -209,11 +240,15 @@ def _within_pivots(by_pivot: DataFrame, comps: DataFrame, percent: int, label: s
     # differences of one document come first in the order and are passed over
     length = F.col("m") - least + 1 - (F.col("m") - F.size("r"))
     entries = partner.join(ranked, ["pivot", "id"]).where((least <= F.col("m")) & (length > 0)).select(
-        "pivot", "id", "comp", "own", "other", F.explode(F.slice("r", 1, length)).alias("r")).select("pivot", "id", "comp", "own", "other", "r.h")
+        "pivot", "id", "comp", "own", "other", "q", F.size("r").alias("n"), F.posexplode(F.slice("r", 1, length)).alias("i", "r")).select(
+        "pivot", "id", "comp", "own", "other", "q", (F.col("n") - F.col("i")).alias("left"), "r.h")
     entries = saved(entries, f"{label}-pivot-entries")
-    two = entries.select("pivot", "h", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("own").alias("other"), F.col("other").alias("own"))
-    pairs = saved(entries.withColumnsRenamed({"id": "a", "comp": "ca"}).join(two, ["pivot", "h", "own", "other"])
-                  .where("ca < cb").select("a", "b").distinct(), f"{label}-pivot-pairs")
+    two = entries.select("pivot", "h", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("own").alias("other"), F.col("other").alias("own"),
+                         F.col("q").alias("qb"), F.col("left").alias("lb"))
+    # a linked pair meets at the first difference that it shares, so it shares no more than are left from there on
+    enough = F.col("qa") + F.col("qb") + 2 * unit * F.least("la", "lb") >= 0
+    pairs = saved(entries.withColumnsRenamed({"id": "a", "comp": "ca", "q": "qa", "left": "la"}).join(two, ["pivot", "h", "own", "other"])
+                  .where((F.col("ca") < F.col("cb")) & enough).select("a", "b").distinct(), f"{label}-pivot-pairs")
     x, y = (by_pivot.select(F.col("id").alias(k), F.col("q").alias(f"q{k}"), F.col("d").alias(f"d{k}")) for k in ("a", "b"))
     return pairs.join(x, "a").join(y, "b").where(
         F.col("qa") + F.col("qb") + 2 * unit * F.size(F.array_intersect("da", "db")) >= 0).select("a", "b")
@@ -240,7 +275,7 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, common: i
     # same sets: one class, named by its smallest id
     classes = saved(linked.groupBy("n", "sig").agg(F.min("id").alias("class_id")), "shingle-classes")
     members = saved(linked.select("id", "n", "sig").join(classes, ["n", "sig"]).select("id", "class_id").distinct(), "class-members")
-    reps = linked.join(classes.withColumnRenamed("class_id", "id"), ["id", "n", "sig"], "left_semi").select("id", "n", "sig", "head").distinct()
+    reps = linked.join(classes.withColumnRenamed("class_id", "id"), ["id", "n", "sig"], "left_semi").select("id", "n", "sig", "head", "shared").distinct()
     reps = saved(reps, "shingle-reps")
 
     # Index prefix.  In the order of all hashes come first those of one class, then those of a few, then the common
@@ -252,25 +287,24 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, common: i
     held = saved(held, "shared-hashes")
     joint = entries.join(small(held, held.count()), "h").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("often", "h"))).alias("all"))
     # similar sets share more of their heads than the places behind the prefix
-    spare_n = _spare(F.col("n"), percent)
-    smallest = F.ceil(F.col("n") * percent / 100).cast("int")  # of a similar set
-    shared = F.least(F.floor(spare_n / 2).cast("int"), F.floor(_spare(smallest, percent) / 2).cast("int")) + 1
-    places = F.size("all") - shared + 1  # of the prefix's |head| - shared + 1, those not used up
-    taken = reps.select(*key, "n").join(joint, key).where(places > 0).select(
-        "id", "n", F.transform(F.slice("all", 1, F.greatest(places, F.lit(1))), lambda x: x["h"]).alias("p"))
+    places = F.size("all") - F.col("shared") + 1  # of the prefix's |head| - shared + 1, those not used up
+    taken = reps.select(*key, "n", "shared", F.size("head").alias("n_head")).join(joint, key).where(places > 0).select(
+        "id", "n", "n_head", F.col("shared").alias("s"), F.transform(F.slice("all", 1, F.greatest(places, F.lit(1))), lambda x: x["h"]).alias("p"))
     taken = saved(taken, "prefixes")
-    groups = taken.groupBy("n", "p").agg(F.min("id").alias("group_id"))
+    groups = taken.groupBy("n", "p").agg(F.min("id").alias("group_id"), F.first("n_head").alias("n_head"), F.first("s").alias("s"))  # by n
     grouped = saved(taken.join(groups, ["n", "p"]).select("id", "group_id"), "prefix-members")
     groups = saved(groups, "prefix-groups")
 
     # leaders: of the group, and of the groups with one hash and about one size (in either of two shifted bands)
-    index = groups.select("group_id", "n", F.explode("p").alias("h"))
+    # with a hash come the shared ones of the head from it on: a similar pair meets at its first and has as many as it must share
+    index = groups.select("group_id", "n", "n_head", (F.size("p") + F.col("s") - 1).alias("all"), F.posexplode("p").alias("i", "h")).select(
+        "group_id", "n", "n_head", (F.col("all") - F.col("i")).alias("left"), "h")
     steps = F.log(F.col("n")) / F.log(F.lit(100 / percent))
     banded = index.withColumn("band", F.explode(F.array(2 * F.floor(steps), 2 * F.floor(steps + 0.5) + 1)))
     leader = banded.groupBy("h", "band").agg(F.min("group_id").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1")
     stars = banded.join(leader, ["h", "band"]).where("group_id <> a").select("a", F.col("group_id").alias("b"))
     own = grouped.where("id <> group_id").select(F.col("group_id").alias("a"), F.col("id").alias("b"))
-    links, near, full = _verified(stars.union(own).distinct(), reps, texts, size, percent, "star")
+    links, near, full = _verified(stars.union(own).distinct(), reps, texts, size, percent, "star", wide=True)
     by_pivot = saved(_pivoted(near, full, percent), "pivots")
     top = by_pivot.groupBy("pivot").agg(F.max(F.struct("q", "id")).alias("t")).select("pivot", F.col("t.id").alias("a"), F.col("t.q").alias("qa"))
     links = links.union(by_pivot.join(top, "pivot").where("q + qa >= 0 AND id <> a").select("a", F.col("id").alias("b")))
@@ -288,13 +322,15 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, common: i
     open_ = saved(spread.join(mixed.where("c1 <> c2 AND p1 <> p2").select("h"), "h"), "open-entries")
 
     def side(k: str) -> DataFrame:
-        return open_.select("h", F.col("group_id").alias(f"g{k}"), F.col("comp").alias(f"c{k}"), F.col("pivot").alias(f"p{k}"), F.col("n").alias(f"n{k}"))
+        return open_.select("h", F.col("group_id").alias(f"g{k}"), F.col("comp").alias(f"c{k}"), F.col("pivot").alias(f"p{k}"), F.col("n").alias(f"n{k}"),
+                            F.col("n_head").alias(f"h{k}"), F.col("left").alias(f"l{k}"))
 
     def of_side(k: str) -> DataFrame:
         return placed.select(F.col("group_id").alias(f"g{k}"), F.col("comp").alias(f"c{k}"), F.col("pivot").alias(f"p{k}"), F.col("id").alias(k))
 
+    enough = F.least("la", "lb") >= _heads_share(F.col("na"), F.col("nb"), F.col("ha"), F.col("hb"), percent)
     pairs = side("a").join(side("b"), "h").where(
-        (F.col("ca") < F.col("cb")) & (F.col("pa") != F.col("pb")) & _fits(F.col("na"), F.col("nb"), percent))
+        (F.col("ca") < F.col("cb")) & (F.col("pa") != F.col("pb")) & _fits(F.col("na"), F.col("nb"), percent) & enough)
     pairs = saved(pairs.select("ga", "ca", "pa", "gb", "cb", "pb").distinct(), "group-pairs")
     expanded = pairs.join(of_side("a"), ["ga", "ca", "pa"]).join(of_side("b"), ["gb", "cb", "pb"]).select("a", "b")
     rest, *_ = _verified(expanded, reps, texts, size, percent, "rest")

@@ -194,6 +194,43 @@ def test_components_equal_brute_force(spark, make_docs, n, percent, common):
     assert got == brute_components(rows, n, percent)
 
 
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_heads_of_similar_sets_share_what_they_must(percent):
+    rng = random.Random(percent)
+
+    def head(x):
+        m = J.spare(len(x), percent)
+        return set(sorted(x)[:m + m // 2 + 1])
+
+    similar = 0
+    for _ in range(4000):
+        n = rng.choice([1, 2, 3, 9, 20, 21, 40])
+        x = set(rng.sample(range(10 ** 6), n))
+        y = set(rng.sample(sorted(x), rng.randint(max(1, n * percent // 100), n))) | set(rng.sample(range(10 ** 6), rng.choice([0, 0, 1, 2])))
+        if 100 * len(x & y) >= percent * len(x | y):
+            similar += 1
+            assert len(head(x) & head(y)) >= max(J.least_shared(len(x), percent), J.least_shared(len(y), percent)) >= 1
+    assert similar > 1000
+
+
+def test_a_common_passage_makes_no_square_of_pairs(spark, make_docs, monkeypatch):
+    # a passage whose hash comes first in nearly every head
+    passage = min((f"p{i} q{i} r{i}" for i in range(5000)), key=lambda t: J.shingle_hashes(t, 3, J._WordHashes())[0])
+    rows = [(i, passage + "".join(f" w{i}x{j}" for j in range(16 + i % 5))) for i in range(150)]
+    counts, saved = {}, J.saved
+
+    def counted(df, label):
+        out = saved(df, label)
+        if label in ("star-pivot-pairs", "group-pairs"):  # the pairs that are looked at
+            counts[label] = out.count()
+        return out
+
+    monkeypatch.setattr(J, "saved", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.link(make_docs(rows)).collect()}
+    assert got == brute_components(rows, 3, 90)
+    assert sum(counts.values()) < 4 * len(rows), counts
+
+
 def test_join_edge_rows(spark, make_docs):
     t = "alpha beta gamma delta epsilon zeta"
     docs = make_docs([(5, t), (5, t), (3, t), (None, t), (8, None), (9, ""), (10, " \t"), (11, "alpha"), (12, "ALPHA"), (13, "é a b"), (14, "É a b")])

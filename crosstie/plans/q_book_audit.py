@@ -113,7 +113,7 @@ def _oit(spark, sf_dir):
     book = grid.matrix_schedules(I.grid_cells(spark, sf_dir), ["sch_c_fc"]).where(F.col("field").isin(*_FIELDS)).select(
         F.expr("split(workbook_id, '-')[0]").alias("return_id"), "entity_code", F.col("field").alias("ref"), F.col("value").try_cast("double").alias("amount"))
     prefix = f"{D.MAIN}_{D.SCH_C}_"
-    export = X.facts(spark, sf_dir, CY).where((F.col("form") == D.MAIN) & F.col("path").isin(*(prefix + f for f in _FIELDS))).select(
+    export = X.facts(spark, sf_dir, CY, forms=[D.MAIN]).where((F.col("form") == D.MAIN) & F.col("path").isin(*(prefix + f for f in _FIELDS))).select(
         "return_id", "entity_code", F.substring("path", F.lit(len(prefix) + 1), F.length("path")).alias("ref"), (-F.col("value").try_cast("double")).alias("amount"))
     return B.crosscheck(book, export, ["return_id", "entity_code"])
 

@@ -6,11 +6,14 @@ import shutil
 from contextlib import redirect_stdout
 
 import pytest
+from pyspark.sql import types as T
 
 import __spark_entry__ as entry
 from crosstie import dims as D
 from crosstie.plans import fixture as X
+from crosstie.plans import inputs as I
 from crosstie.plans import store
+from crosstie.sources import xml
 
 SF = "/root/testdata/sf0.001"
 #: the JVM compiles no method of more bytes
@@ -37,3 +40,35 @@ def test_facts_are_made_by_methods_that_the_jvm_compiles(spark):
                 X.build_facts(base, side, form).explain("codegen")
             sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", out.getvalue())]
             assert sizes and max(sizes) < HUGE_METHOD
+
+
+def test_documents_are_stored_alike_by_tasks_and_by_the_writer(spark, tmp_path, monkeypatch):
+    """One packed file per document, without a check file beside it; names that need care and missing texts as before."""
+    rows = [(1996, "A_1992-0", "<a>é</a>\n<b/>"), (1997, "A_1992-0", "<a/>"), (1996, "B C/1-1", "<c/>"), (1997, None, None), (1997, "D-2", None), (1997, "D-3", "")]
+    docs = spark.createDataFrame(rows, "ty int, doc string, value string")
+
+    def stored(name):
+        path = (tmp_path / name).as_posix()
+        I._stored_files(docs, path)
+        files = [p for p in (tmp_path / name).rglob("*") if p.is_file() and "=" in p.parent.name]
+        back = spark.read.text(path, wholetext=True)
+        return {p.parent.relative_to(tmp_path / name).as_posix() for p in files}, sorted(map(repr, back.collect())), [p for p in files if p.name.endswith(".crc")]
+
+    folders, texts, checks = stored("tasks")
+    monkeypatch.setattr(I, "PLAIN_NAME", "^$")
+    assert (folders, texts) == stored("writer")[:2]
+    assert len(folders) == len(rows) and not [p for p in checks if "A_1992-0" in p.parent.name or "D-3" in p.parent.name]
+
+
+def test_facts_of_single_forms_are_compiled(spark):
+    """Only forms that repeat are read below a lambda, and absent facts are left out in a step of its own."""
+    schema = T.StructType.fromDDL(f"ReturnData struct<{D.MAIN}: struct<_documentId: string, EIN: string, A: array<string>>,"
+                                  f" {D.SCH_J}: array<struct<SeparateCategoryCd: string, X: string>>>")
+    text = xml.fact_array(schema)
+    assert f"array(ReturnData.`{D.MAIN}`)" not in text and f"transform(ReturnData.`{D.SCH_J}`, (e, i)" in text and not text.startswith("filter(")
+    data = [(((None, None, ["1", None]), [("GEN", "5"), ("PAS", None)]),), ((None, None),), (None,)]
+    got = spark.createDataFrame(data, schema).selectExpr(f"{text} AS _all").selectExpr(f"{xml._FILLED} AS facts").collect()
+    short = [[(f.form, f.instance, f.basket, f.path, f.value) for f in r.facts] for r in got]
+    j = D.SCH_J
+    assert short == [[(D.MAIN, 1, "", D.MAIN, ""), (D.MAIN, 1, "", f"{D.MAIN}_A", "1"), (j, 1, "GEN", j, ""), (j, 1, "GEN", f"{j}_SeparateCategoryCd", "GEN"), (j, 1, "GEN", f"{j}_X", "5"),
+                      (j, 2, "PAS", j, ""), (j, 2, "PAS", f"{j}_SeparateCategoryCd", "PAS")], [], []]
